@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Let no Arrow batch of this session exceed `most` bytes, however long its rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > most:
+        spark.conf.set(key, str(most))
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and its n+1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -149,9 +156,10 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def map_text(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable) -> DataFrame:
     """rows(ids, data, offsets) -> list of Arrow arrays, called on pieces of a partition."""
     from pyspark.sql import functions as F
-
-    from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    bounded_batches(df.sparkSession)
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 

@@ -42,6 +42,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(docs, t.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats as r
+
+    got = r.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language as n
 
@@ -55,7 +63,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_decontaminate, op5_toxicity, op7_language, op8_quality_rules)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard as j
+
+    return j.classes_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_decontaminate, op5_toxicity, op6_repeats, op7_language, op8_quality_rules, op10_ngram_jaccard)}
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
