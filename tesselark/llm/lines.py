@@ -31,8 +31,9 @@ def split_lines(text) -> F.Column:
 def line_keys(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
     """(doc, pos, h, g) of each line whose key is long enough to count."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
-    keys = rows.where(F.char_length("line") >= least_chars).select("doc", "pos", F.translate(F.btrim("line", F.lit(WHITE)), UPPER, LOWER).alias("key"))
-    keys = keys.where(F.char_length("key") >= least_chars)
+    keys = rows.where(F.char_length("line") >= least_chars).select("doc", "pos", F.btrim("line", F.lit(WHITE)).alias("key"))
+    folded = F.when(F.octet_length("key") == F.char_length("key"), F.lower("key")).otherwise(F.translate("key", UPPER, LOWER))
+    keys = keys.where(F.char_length("key") >= least_chars).withColumn("key", folded)
     return keys.select("doc", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), "key").alias("g"))
 
 
@@ -47,7 +48,7 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     part = marked.groupBy("h", "g", "salt").agg(F.sum(F.col("first").cast("long")).alias("n"), F.max("doc").alias("last"))
     whole = part.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.collect_list("salt").alias("salts")).where(F.col("n") >= least_docs)
     frequent = whole.select("h", "g", "last", F.explode("salts").alias("salt"))
-    gone = lines.join(frequent, ["h", "g", "salt"]).where(F.col("doc") != F.col("last")).select("doc", "pos").distinct()
+    gone = ranged.join(frequent, ["h", "g", "salt"]).where(F.col("doc") != F.col("last")).select("doc", "pos").distinct()
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = gone.groupBy("doc", F.expr("pos div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
