@@ -6,7 +6,10 @@ megabyte, so that temporary arrays stay small however long a document or a batch
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +40,25 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared checkpoint folder and read again: lineage ends here.
+
+    The table outlives lost executors; it is deleted when the driver exits.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
     """Let no Arrow batch of this session exceed `most` bytes, however long its rows are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -3,9 +3,10 @@
 1. A text becomes the set of its distinct word shingles (64-bit hashes).  Texts with equal
    sets form one class, stood for by its smallest id.
 2. Which classes can be linked at all is found without comparing pairs.  Sets that reach
-   the similarity differ in at most D tokens, so if tokens are dealt over D+1 parts by
-   hash, one part is the same in both; each class emits a hash of each part.  D follows
-   from the size, in size intervals that adjacent classes share.
+   the similarity differ in at most D tokens, so if tokens are dealt over D+1+s parts by
+   hash, s+1 parts are the same in both; each class emits a hash of each part.  D follows
+   from the size, in size intervals that adjacent classes share.  A class with fewer shared
+   parts than that has no link, and two groups with fewer have none between them.
 3. The classes that share a part are dealt into groups of similar documents (same smallest
    token, then bounded blocks).  A group stores its members and the union of their tokens:
    a row of the token-group matrix.
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bounded_batches, map_text, mix, ragged, utf8, words
+from .common import NOT_SPACE, bounded_batches, map_text, mix, ragged, stored, words
 from .components import components
 
 #: Tokens of a group, about; bounds what one task holds of it.
 GROUP_TOKENS = 1 << 17
-#: Parts beyond D+1, so that parts without tokens needn't be emitted.
-SPARE = 2
+#: Parts beyond D+1.  Linked sets then have SPARE+1 parts in common at least, of which some may hold no token.
+SPARE = 16
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,16 +68,17 @@ def intervals(most: int, percent: int) -> np.ndarray:
     return np.array(ends)
 
 
-def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set, end to end, and n+1 bounds.
+def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the parts of each set, end to end, n+1 bounds, and how many of them a link needs in common.
 
     A set emits the parts of its own interval and of the next one, where it may be the smaller.
+    Parts without tokens are left out where a set has at most SPARE of them.
     """
     size = np.diff(bounds)
     upper = intervals(int(size.max(initial=0)) * 100 // percent + 2, percent)
     own = np.searchsorted(upper, size)
     upper = np.append(upper, (upper[-1] + 1) * 100 // percent)
-    every, rows = [], []
+    every, rows, need = [], [], np.full(len(size), SPARE + 1)
     row = np.repeat(np.arange(len(size)), size)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
     for step in (0, 1):
@@ -99,19 +101,21 @@ def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[n
         value = np.where(empty, np.uint64(0), sums[edge] - sums[np.minimum(first, edge)])
         number = np.arange(total) - base[owner]
         label = (level[owner].astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
-        many = np.bincount(owner, empty, len(size)) > SPARE
+        blank = np.bincount(owner, empty, len(size)).astype(np.int64)
+        many = blank > SPARE
+        need = np.minimum(need, np.where(many, 1, SPARE + 1 - blank))
         use = ~empty | many[owner]
         every.append(mix(value + mix(label + np.uint64(1)))[use])
         rows.append(owner[use])
     if not every:
-        return np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64), need
     value, owner = np.concatenate(every), np.concatenate(rows)
     order = np.argsort(owner, kind="stable")
-    return value[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
+    return value[order], np.searchsorted(owner[order], np.arange(len(size) + 1)), need
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, parts: bool) -> DataFrame:
-    """(doc, n, ha, hb, low[, parts]): set size, 128-bit set hash, smallest token and part hashes."""
+    """(doc, n, ha, hb, low[, need, parts]): set size, 128-bit set hash, smallest token and part hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
     as_long = lambda x: x.view(np.int64)
 
@@ -124,11 +128,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         low[n > 0] = tokens[bounds[:-1][n > 0]]
         out = [ids, n, as_long(ha), as_long(hb), as_long(low)]
         if parts:
-            value, at = part_hashes(tokens, bounds, percent)
+            value, at, need = part_hashes(tokens, bounds, percent)
+            out.append(need)
             out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(value))))
         return out
 
-    schema = f"doc {kind}, n long, ha long, hb long, low long" + (", parts array<long>" if parts else "")
+    schema = f"doc {kind}, n long, ha long, hb long, low long" + (", need int, parts array<long>" if parts else "")
     return map_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col, schema, rows)
 
 
@@ -203,23 +208,27 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     bounded_batches(spark)
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = signatures(docs, id_col, text_col, width, percent, False).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "ha", "hb")))
-    classes = signatures(docs, id_col, text_col, width, percent, True).where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("parts").alias("parts"))
-    member = slim.join(classes.select("ha", "hb", "rep"), ["ha", "hb"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    dealt = classes.select("rep", F.explode("parts").alias("part")).repartition(slots, "part")
+    slim = signatures(docs, id_col, text_col, width, percent, False).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "ha", "hb", "low")))
+    full = signatures(docs, id_col, text_col, width, percent, True).where("n > 0")
+    classes = full.groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.any_value("need").alias("need"), F.any_value("parts").alias("parts"))
+    names = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
+    member = slim.join(names.select("ha", "hb", "rep"), ["ha", "hb"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
+    dealt = classes.select("rep", "need", F.explode("parts").alias("part")).repartition(slots, "part")
     shared = dealt.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part")
-    touching = dealt.join(shared, "part")
-    from .common import shared_dir
-
-    shared_dir(spark)
-    touching = touching.checkpoint()
-    found = touching.select("rep").distinct().join(classes.select("rep", "n", "low"), "rep")
-    weight = found.groupBy("low").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
-    placed = found.join(weight, "low").select("rep", F.xxhash64("low", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")).checkpoint()
-    members = placed.join(_tokens(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(placed.select("rep"), "rep", "left_semi"), width).dropDuplicates(["rep"]), "rep")
-    groups = members.groupBy("grp").agg(F.collect_list(F.struct("rep", "tokens")).alias("members"))
-    at = touching.join(placed, "rep").select("part", "grp").distinct()
-    pairs = at.alias("l").join(at.alias("r"), "part").where("l.grp <= r.grp").select(F.col("l.grp").alias("g"), F.col("r.grp").alias("o")).distinct()
+    touching = stored(dealt.join(shared, "part"))
+    # a set that shares fewer parts than a link needs has no link
+    able = touching.groupBy("rep").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("rep", "need").join(names.select("rep", "n", "low"), "rep")
+    able = stored(able)
+    weight = able.groupBy("low").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
+    placed = stored(able.join(weight, "low").select("rep", "need", F.xxhash64("low", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
+    at = touching.select("rep", "part").join(placed, "rep").groupBy("part", "grp").agg(F.count("*").alias("m"), F.min("need").alias("need"))
+    met = at.alias("l").join(at.alias("r"), "part").where("l.grp < r.grp or l.grp = r.grp and l.m > 1")
+    met = met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("o")).agg(F.count("*").alias("m"), F.min(F.greatest("l.need", "r.need")).alias("need"))
+    pairs = stored(met.where("m >= need").select("g", "o"))
+    wanted = stored(placed.join(pairs.select(F.col("g").alias("grp")).union(pairs.select("o")).distinct(), "grp", "left_semi").select("rep", "grp"))
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep"), "rep", "left_semi")
+    members = wanted.join(_tokens(texts, width).dropDuplicates(["rep"]), "rep")
+    groups = stored(members.groupBy("grp").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))
     both = pairs.join(groups.select(F.col("grp").alias("g"), F.col("members").alias("x")), "g")
     both = both.join(groups.select(F.col("grp").alias("o"), F.col("members").alias("y")), "o").select("g", "o", "x", "y")
 
