@@ -20,8 +20,8 @@ Every bucket is counted by pre-aggregation, and rows meet their bucket's count i
 that may split a hot bucket.  Distinct buckets are told apart by 128 bits of hash.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` lose none;
-rows with a null id, and repeated rows of an id, count as texts of their own; windows
-never cross texts; overlapping occurrences count.
+rows with a null id are told apart by their text; a repeated row repeats its text, so both
+lose it; windows never cross texts; overlapping occurrences count.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, mix, pieces, utf8
+from .common import bounded_batches, mix, pieces, stored, utf8
 
 GRAM = 32
 #: Windows of a run at each refinement.
@@ -120,21 +120,21 @@ def _first_records(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, _RECORD)
 
 
-def _refine(docs: DataFrame, open_: DataFrame, step: int, length: int) -> DataFrame:
+def _refine(placed: DataFrame, open_: DataFrame, step: int, length: int) -> DataFrame:
     """Records of runs of `step` windows out of the open ones; needs their bytes."""
     lists = open_.groupBy("row").agg(F.collect_list(F.struct("core", "at", "low", "high")).alias("runs"))
-    joined = docs.join(lists, "row").select("row", "text", "runs")
+    joined = placed.join(lists, "row").select("row", "id", "text", "runs")
 
     def run(batches):
         import xxhash
 
         one, both = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
-            data, off = utf8(batch.column(1))
+            data, off = utf8(batch.column(2))
             for k in range(batch.num_rows):
                 view = memoryview(data[off[k] : off[k + 1]].tobytes())
                 who, got = batch.column(0)[k].as_py(), []
-                for r in batch.column(2)[k].as_py():
+                for r in batch.column(3)[k].as_py():
                     at, d = r["at"], r["low"]
                     seed = r["core"] & 0x7FFFFFFFFFFFFFFF
                     while d <= r["high"]:
@@ -173,25 +173,24 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     bounded_batches(spark)
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = kind in ("bigint", "int", "smallint", "tinyint")
-    key = F.col(id_col).cast("long") if plain else F.xxhash64(id_col)
-    rows = docs.select(key.alias("row"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
-    placed = rows.repartition(slots, "row")  # one shuffle of the texts serves every refinement
-    done, open_ = _sort_out(_first_records(rows, length))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.col(id_col).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
+    rows = docs.select(F.coalesce(key, F.xxhash64(text)).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    done, open_ = (stored(x) for x in _sort_out(_first_records(rows.select("row", "text").where(F.octet_length("text") >= length), length)))
+    placed = rows.repartition(slots, "row")  # one shuffle of the texts serves both refinements and the result
     for step in STEPS:
         more, open_ = _sort_out(_refine(placed, open_, step, length))
         done = done.unionByName(more)
     cover = done.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     spans = cover.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    whole = docs.select(key.alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).repartition(slots, "row")
-    joined = whole.join(spans, "row", "left").select("id", "text", "spans")
+    joined = placed.join(spans, "row", "left").select("row", "id", "text", "spans")
     schema = f"{id_col} {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def cut(batches):
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            lists = batch.column(2)
+            data, off = utf8(batch.column(2))
+            lists = batch.column(3)
             kept, found = [], []
             for k in range(batch.num_rows):
                 b = data[off[k] : off[k + 1]]
@@ -207,6 +206,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 flank = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 found.append([{"start": int(a), "end": int(z)} for a, z in zip(np.flatnonzero(flank == 1), np.flatnonzero(flank == -1))])
                 kept.append(b[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(found, out[2].type), pa.array(kept, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(off)), pa.array(found, out[2].type), pa.array(kept, pa.binary())], schema=out)
 
     return joined.mapInArrow(cut, schema)
