@@ -29,6 +29,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import weaklabels as w
+
+    docs = table(spark, sf_dir, "documents")
+    return w.score(docs, w.train(docs))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
@@ -63,13 +70,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html as h
+
+    return h.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard as j
 
     return j.classes_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_decontaminate, op5_toxicity, op6_repeats, op7_language, op8_quality_rules, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_weak_quality, op4_decontaminate, op5_toxicity, op6_repeats, op7_language, op8_quality_rules, op9_html_template, op10_ngram_jaccard)}
 
 _TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
