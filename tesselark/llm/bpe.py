@@ -16,6 +16,7 @@ the tokenizers library does by default.
 from __future__ import annotations
 
 import contextlib
+import glob
 import hashlib
 import heapq
 import json
@@ -196,12 +197,19 @@ class Lexicon:
 
     def __init__(self, block: bytes):
         path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.fst")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(block)
-            os.replace(f.name, path)
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        for _ in range(8):  # another worker may replace the folder's lexicon between the two steps
+            if not os.path.exists(path):
+                for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*.fst")):  # of earlier corpora; maps of it stay valid
+                    with contextlib.suppress(OSError):
+                        os.unlink(old)
+                with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
+                    f.write(block)
+                os.replace(f.name, path)
+            with contextlib.suppress(FileNotFoundError), open(path, "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                break
+        else:
+            raise OSError(f"can't map {path}")
         n = int.from_bytes(self.map[:8], "little")
         head = json.loads(self.map[8 : 8 + n])
         at = 8 + n + (-n % 8)
