@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, pieces, ragged, utf8
+from .common import map_text, pieces, ragged, stored, utf8
 
 #: Words that the lexicon holds at most; the count of every word of the corpus decides which.
 LEXICON_WORDS = 65_536
@@ -399,9 +399,21 @@ def word_counts(docs: DataFrame, text_col: str, added: dict[bytes, int]) -> Data
 
 
 def frequent_words(docs: DataFrame, text_col: str, added: dict[bytes, int], most: int = LEXICON_WORDS) -> list[bytes]:
-    """The `most` most frequent words; a bounded list, so it may go to the driver."""
-    top = word_counts(docs, text_col, added).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r[0]) for r in top.collect()]
+    """The most frequent words, `most` at most; a bounded list, so it may go to the driver.
+
+    Counts are put into eight classes for each doubling; the lowest class that still fits
+    decides, so that no task sends more than its own part of the list.
+    """
+    counts = stored(word_counts(docs, text_col, added).where("n > 1").withColumn("grade", F.floor(8 * F.log2("n")).cast("int")))
+    total, least = 0, None
+    for grade, n in sorted(((r[0], r[1]) for r in counts.groupBy("grade").count().collect()), reverse=True):  # 512 classes at most
+        total += n
+        if total > most:
+            break
+        least = grade
+    if least is None:
+        return []
+    return [bytes(r[0]) for r in counts.where(F.col("grade") >= least).select("word").collect()]
 
 
 _encoders: dict[str, Encoder] = {}
