@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, bounded_batches, map_text, mix, ragged, stored, words
@@ -214,8 +214,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     names = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
     member = slim.join(names.select("ha", "hb", "rep"), ["ha", "hb"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     dealt = classes.select("rep", "need", F.explode("parts").alias("part")).repartition(slots, "part")
-    shared = dealt.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part")
-    touching = stored(dealt.join(shared, "part"))
+    touching = stored(dealt.withColumn("m", F.count("*").over(Window.partitionBy("part"))).where("m > 1").drop("m"))
     # a set that shares fewer parts than a link needs has no link
     able = touching.groupBy("rep").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("rep", "need").join(names.select("rep", "n", "low"), "rep")
     able = stored(able)
