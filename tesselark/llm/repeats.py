@@ -16,8 +16,9 @@ whether a window of `length` bytes occurs twice.
    step 1 apply again, with runs of 13 windows and then with single windows, where bucket
    and run are the same.
 
-Every bucket is counted by pre-aggregation, and rows meet their bucket's count in a join
-that may split a hot bucket.  Distinct buckets are told apart by 128 bits of hash.
+Runs that repeat within a text (a periodic one is nothing else) are merged before the
+shuffle.  The initial buckets are counted by pre-aggregation, and rows meet their bucket's
+count in a join that may split a hot bucket.  Distinct runs are told apart by 128 bits.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` lose none;
 rows with a null id are told apart by their text; a repeated row repeats its text, so both
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -39,8 +40,8 @@ GRAM = 32
 #: Windows of a run at each refinement.
 STEPS = (13, 1)
 _PIECE = 8 << 20
-_RECORD = "core long, span long, row long, at long, low int, high int"
-_out = pa.schema([("core", pa.int64()), ("span", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+_RECORD = "core long, span long, row long, at long, low int, high int, n int"
+_out = pa.schema([("core", pa.int64()), ("span", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32())])
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -94,9 +95,26 @@ def _hash(raw: bytes, start, end) -> np.ndarray:
     return np.fromiter((one(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
 
 
-def _record(core, span, row, at, low, high) -> pa.RecordBatch:
-    cols = [np.asarray(core).view(np.int64) if np.asarray(core).dtype == np.uint64 else core, np.asarray(span).view(np.int64) if np.asarray(span).dtype == np.uint64 else span, row, at, low, high]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), f.type) for c, f in zip(cols, _out)], schema=_out)
+def _record(core, span, row, at, low, high, n, covered=None) -> pa.RecordBatch:
+    """A batch of records; those `covered` have no bucket, they only say that their windows repeat."""
+    core = pa.array(np.asarray(core, np.uint64).view(np.int64), mask=covered)
+    rest = [np.asarray(span, np.uint64).view(np.int64), row, at, low, high, n]
+    return pa.RecordBatch.from_arrays([core, *(pa.array(np.asarray(c), f.type) for c, f in zip(rest, list(_out)[1:]))], schema=_out)
+
+
+def _within(core, span, row, first, last):
+    """(kept runs, how often each occurs in its text, starts and ends of the stretches that runs met before cover)."""
+    order = np.lexsort((first, span, core, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (core[order][1:] != core[order][:-1]) | (span[order][1:] != span[order][:-1]) | (row[order][1:] != row[order][:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(order)))
+    again = np.sort(order[~new])
+    if not len(again):
+        return order[new], count, again, again, again
+    a, z, r = first[again], last[again], row[again]
+    cut = np.ones(len(again), bool)
+    cut[1:] = (a[1:] > z[:-1] + 1) | (r[1:] != r[:-1])
+    return order[new], count, r[cut], a[cut], z[np.append(np.flatnonzero(cut)[1:], len(again)) - 1]
 
 
 def _first_records(docs: DataFrame, length: int) -> DataFrame:
@@ -114,8 +132,12 @@ def _first_records(docs: DataFrame, length: int) -> DataFrame:
                     if not len(first):
                         continue
                     span = _hash(b.tobytes(), first, last + length)
-                    begin = off[i:j][row]
-                    yield _record(core, span, ids[i:j][row], at + start - begin, at - last, at - first)
+                    begin = off[i:j] - start
+                    k, n, r, a, z = _within(core, span, row, first, last)
+                    yield _record(core[k], span[k], ids[i:j][row[k]], (at - begin[row])[k], (at - last)[k], (at - first)[k], n)
+                    if len(r):
+                        none = np.zeros(len(r), np.uint64)
+                        yield _record(none, none, ids[i:j][r], a - begin[r], a - z, np.zeros(len(r)), np.ones(len(r)), np.ones(len(r), bool))
 
     return docs.mapInArrow(run, _RECORD)
 
@@ -150,21 +172,34 @@ def _refine(placed: DataFrame, open_: DataFrame, step: int, length: int) -> Data
                         d = top + 1
                 if got:
                     core, span, row, p, low, high = zip(*got)
-                    yield _record(np.array(core, np.uint64), np.array(span, np.uint64), np.array(row), np.array(p), np.array(low), np.array(high))
+                    yield _record(np.array(core, np.uint64), np.array(span, np.uint64), np.array(row), np.array(p), np.array(low), np.array(high), np.ones(len(row)))
 
     return joined.mapInArrow(run, _RECORD)
 
 
-def _sort_out(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated runs, open runs): by the number of records and of distinct runs in each bucket."""
-    buckets = records.groupBy("core").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1").select("core", (F.col("a") == F.col("b")).alias("one"))
-    met = records.join(buckets, "core")
-    mixed = met.where("not one")
-    kinds = mixed.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "low", "high")).alias("x"))
-    open_ = kinds.select("core", "x.*")
-    again = mixed.join(kinds.where("n > 1").select("core", "span"), ["core", "span"])
-    cols = ["row", "at", "low", "high"]
-    return met.where("one").select(*cols).unionByName(again.select(*cols)), open_
+_COVER = ("row", "at", "low", "high")
+
+
+def _first_buckets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated runs, open runs) of the initial buckets: those with more than one record.
+
+    Buckets are counted with map-side aggregation and joined back, which lets Spark split a hot one.
+    """
+    own = records.where("core is null or n > 1").select(*_COVER)
+    buckets = records.where("core is not null").groupBy("core").agg(F.count("*").alias("m"), F.min("span").alias("a"), F.max("span").alias("b")).where("m > 1").select("core", (F.col("a") == F.col("b")).alias("one"))
+    met = stored(records.join(buckets, "core"))
+    kinds = stored(met.where("not one").groupBy("core", "span").agg(F.count("*").alias("m"), F.min(F.struct(*_COVER)).alias("x")))
+    again = met.where("not one").join(kinds.where("m > 1").select("core", "span"), ["core", "span"])
+    done = own.unionByName(met.where("one").select(*_COVER)).unionByName(again.select(*_COVER))
+    return done, kinds.select("core", "x.*")
+
+
+def _later_buckets(records: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """The same for refined buckets, which hold one record of each distinct run; over a single exchange."""
+    bucket, kind = Window.partitionBy("core"), Window.partitionBy("core", "span")
+    x = records.repartition(slots, "core").withColumn("m", F.count("*").over(bucket)).withColumn("a", F.min("span").over(bucket)).withColumn("b", F.max("span").over(bucket))
+    x = x.withColumn("k", F.count("*").over(kind)).withColumn("r", F.row_number().over(kind.orderBy("row", "at", "low"))).where("m > 1")
+    return x.where("k > 1").select(*_COVER), x.where("a != b and r = 1").select("core", *_COVER)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -176,10 +211,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.col(id_col).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
     rows = docs.select(F.coalesce(key, F.xxhash64(text)).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-    done, open_ = (stored(x) for x in _sort_out(_first_records(rows.select("row", "text").where(F.octet_length("text") >= length), length)))
+    done, open_ = _first_buckets(stored(_first_records(rows.select("row", "text").where(F.octet_length("text") >= length), length)))
     placed = rows.repartition(slots, "row")  # one shuffle of the texts serves both refinements and the result
     for step in STEPS:
-        more, open_ = _sort_out(_refine(placed, open_, step, length))
+        more, open_ = _later_buckets(_refine(placed, open_, step, length), slots)
         done = done.unionByName(more)
     cover = done.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     spans = cover.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
