@@ -53,6 +53,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, stored and counted, with a broadcast hint if it has at most `rows` rows; for narrow rows such as ids.
+
+    A join against it then needs no shuffle of the other side; beyond the bound it is shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

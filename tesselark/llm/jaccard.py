@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bounded_batches, map_text, mix, ragged, stored, words
+from .common import NOT_SPACE, bounded_batches, few, map_text, mix, ragged, stored, words
 from .components import components
 
 #: Tokens of a group, about; bounds what one task holds of it.
@@ -225,7 +225,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     met = met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("o")).agg(F.count("*").alias("m"), F.min(F.greatest("l.need", "r.need")).alias("need"))
     pairs = stored(met.where("m >= need").select("g", "o"))
     wanted = stored(placed.join(pairs.select(F.col("g").alias("grp")).union(pairs.select("o")).distinct(), "grp", "left_semi").select("rep", "grp"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep"), "rep", "left_semi")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(few(wanted.select("rep")), "rep", "left_semi")
     members = wanted.join(_tokens(texts, width).dropDuplicates(["rep"]), "rep")
     groups = stored(members.groupBy("grp").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))
     both = pairs.join(groups.select(F.col("grp").alias("g"), F.col("members").alias("x")), "g")
