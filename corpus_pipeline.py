@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.llm import bpe, decontaminate, jaccard, lines, toxicity
-from tesselark.llm.common import stored
+from tesselark.llm.common import few, stored
 from tesselark.llm.queries import table, tokenizer_path
 
 
@@ -30,14 +30,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by shingles of five words at 0.8."""
     found = jaccard.classes_of(docs, width=5, percent=80)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    gone = few(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of fewer than two benchmark items."""
-    found = decontaminate.report(decontaminate.search(docs, table(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

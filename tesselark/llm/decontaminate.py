@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, map_text, mix, utf8, words
+from .common import ALNUM, LOWER, bounded_batches, few, map_text, mix, pieces, utf8, words
 
 #: Bytes of benchmark text in one matcher set; larger benchmarks are searched in several passes.
 BLOCK_BYTES = 16 << 20
@@ -192,3 +192,27 @@ def report(found: DataFrame, id_col: str = "doc_id", least_items: int = 2) -> Da
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("items") >= least_items).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, with windows of fewer than `least_items` items.
+
+    With one block of patterns rows are dropped where they are read; with several, by a join.
+    """
+    bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null")
+    size = bench.agg(F.sum(F.octet_length("t"))).head()[0] or 0
+    if size > block_bytes:
+        found = report(search(docs, benchmark, window, id_col, text_col, item_col, item_text_col, block_bytes), id_col, least_items)
+        return docs.join(few(found.where("contaminated").select(id_col)), id_col, "left_anti").select(*docs.columns)
+    got = bench.collect()  # within block_bytes
+    tables = docs.sparkSession.sparkContext.broadcast(matchers([r[0] for r in got], [r[1] for r in got], window))
+    at = docs.columns.index(text_col)
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            data, off = utf8(batch.column(at))
+            good = [len(x) < least_items for i, j in pieces(off) for x in scan_rows(tables.value, data, off[i : j + 1])[2].to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, map_text, mix, utf8, words
+from .common import ALNUM, bounded_batches, map_text, mix, pieces, utf8, words
 
 DIMENSIONS_LOG2 = 20
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
@@ -156,13 +156,12 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def keep_clean(docs: DataFrame, model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that score below the limit."""
     shared = _Shared(docs.sparkSession, model)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column(at))
-            from .common import pieces
-
             good = np.concatenate([_scorer(shared)(data, off[i : j + 1]) < limit for i, j in pieces(off)]) if batch.num_rows else np.zeros(0, bool)
             yield batch.filter(pa.array(good))
 
