@@ -54,7 +54,8 @@ def resolve_exports(exports: DataFrame, stars: DataFrame, rounds: int = 16) -> D
     found = cut(exports.select("file_path", "name", "target", F.lit(0).alias("hop")))
     frontier = found
     for hop in range(1, rounds + 1):
-        nxt = frontier.join(stars.select("file_path", F.col("from_path").alias("f")), frontier["file_path"] == F.col("f")).select(stars["file_path"], "name", "target").where("name != 'default'").distinct()
+        up = stars.select(F.col("file_path").alias("barrel"), F.col("from_path").alias("file_path"))
+        nxt = frontier.where("name != 'default'").join(up, "file_path").select(F.col("barrel").alias("file_path"), "name", "target").distinct()
         frontier = cut(nxt.join(found, ["file_path", "name"], "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
