@@ -28,13 +28,22 @@ def relate(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     resolved = link.resolve_calls(around, symbols, imports.where("target_path is not null").select("file_path", "local", "imported", "kind", "target_path"))
     call_edges = resolved.where("target is not null and source is not null").select("repo_id", F.lit("calls").alias("kind"), "source", "target", F.col("callee").alias("label"), "confidence")
     import_edges = imports.where("target_path is not null").select("repo_id", F.lit("imports").alias("kind"), F.col("file_path").alias("source"), F.col("target_path").alias("target"), F.col("specifier").alias("label"), F.lit(link.SAME_FILE).alias("confidence"))
+    named = lambda fact: facts.where(F.col("fact") == fact).select("repo_id", "file_path", "owner", F.col("name").alias("target_name"), "kind", "confidence").join(first, ["repo_id", "file_path", "owner"], "left")
+    bindings = imports.where("target_path is not null").select("file_path", "local", "imported", "kind", "target_path")
+    relations = link.resolve_relationships(named("relationship").where("source is not null"), symbols, bindings)
+    relation_edges = relations.where("target is not null").select("repo_id", "kind", "source", "target", F.col("target_name").alias("label"), "confidence")
+    selectors = named("selector").select("repo_id", F.col("target_name").alias("selector"), F.coalesce("source", F.concat_ws(":", "file_path", "owner")).alias("symbol"), F.col("kind").alias("role"), "confidence")
+    selector_edges = link.selector_edges(selectors).select("repo_id", "kind", "source", "target", "label", "confidence")
+    exports = facts.where("fact = 'export'").select("repo_id", "file_path", "kind", "name", "local", "specifier")
     api = facts.where("fact = 'api'").select("repo_id", "file_path", "kind", "method", normal_api_path("path").alias("path"), F.col("name").alias("handler"), "confidence", "start_line")
     return {
         "files": files.drop("reuse"),
         "symbols": symbols,
         "imports": imports,
         "calls": resolved,
-        "edges": link.distinct_edges(call_edges.unionByName(import_edges)),
+        "relationships": relations.select("repo_id", "file_path", "kind", "source", "target_name", "target", "confidence"),
+        "exports": exports,
+        "edges": link.distinct_edges(call_edges.unionByName(import_edges).unionByName(relation_edges).unionByName(selector_edges)),
         "api_operations": api,
         "diagnostics": facts.where("fact = 'diagnostic'").select("repo_id", "file_path", F.col("name").alias("diagnostic"), "mode"),
     }
@@ -60,7 +69,7 @@ def index_directory(spark: SparkSession, root: str, repo_id: str, store: str, kn
     return load(spark, store)
 
 
-TABLES = ("facts", "files", "symbols", "imports", "calls", "edges", "api_operations", "diagnostics")
+TABLES = ("facts", "files", "symbols", "imports", "calls", "relationships", "exports", "edges", "api_operations", "diagnostics")
 
 
 def load(spark: SparkSession, store: str) -> dict[str, DataFrame]:

@@ -153,6 +153,8 @@ def scan_code(text: str, language: str) -> list[dict]:
         out.append({"fact": "api", "kind": "client", "method": (m[3] or "GET").upper(), "path": m[2], "confidence": 0.99, "start_line": text.count("\n", 0, m.start()) + 1})
     for m in _CLIENT.finditer(text):
         out.append({"fact": "api", "kind": "client", "method": m[1].upper(), "path": m[3], "confidence": 0.95, "start_line": text.count("\n", 0, m.start()) + 1})
+    if language in ("javascript", "typescript"):
+        out += _exports(text) + _relations(code, rows, language == "typescript") + _selectors(text, rows) + _endpoints(text)
     covered = {k for r in rows for k in range(r["start_line"], r["end_line"] + 1)}
     lines = text.split("\n")
     if any(x.strip() and k not in covered for k, x in enumerate(lines, 1)) or any(c.get("owner") == "<module>" for c in out):
@@ -195,6 +197,92 @@ def _imports(text: str, language: str) -> list[dict]:
     return out
 
 
+_EXPORTS = [
+    ("re-export-all", re.compile(r"^\s*export\s+\*\s+from\s+['\"](?P<s>[^'\"]+)['\"]", re.M)),
+    ("re-export-namespace", re.compile(r"^\s*export\s+\*\s+as\s+(?P<n>\w+)\s+from\s+['\"](?P<s>[^'\"]+)['\"]", re.M)),
+    ("local", re.compile(r"^\s*export\s+(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|const|let|var|interface|type|enum)\s+(?P<n>[A-Za-z_$][\w$]*)", re.M)),
+    ("default", re.compile(r"^\s*export\s+default\s+(?:async\s+)?(?:(?:function\s*\*?|class)\s+)?(?P<l>[A-Za-z_$][\w$]*)?", re.M)),
+    ("commonjs-default", re.compile(r"^\s*module\.exports\s*=\s*(?P<l>[A-Za-z_$][\w$]*)", re.M)),
+    ("commonjs-named", re.compile(r"^\s*(?:module\.)?exports\.(?P<n>[A-Za-z_$][\w$]*)\s*=\s*(?P<l>[A-Za-z_$][\w$]*)?", re.M)),
+]
+_EXPORT_LIST = re.compile(r"^\s*export\s+(?:type\s+)?\{([^}]*)\}(?:\s*from\s+['\"]([^'\"]+)['\"])?", re.M)
+
+
+def _exports(text: str) -> list[dict]:
+    """Exported names with their local names and, for re-exports, where they come from."""
+    out = []
+    for kind, rule in _EXPORTS:
+        for m in rule.finditer(text):
+            g = m.groupdict()
+            name = g.get("n") or ("*" if kind == "re-export-all" else "default")
+            out.append({"fact": "export", "kind": kind, "name": name, "local": g.get("l") or g.get("n"), "specifier": g.get("s")})
+    for m in _EXPORT_LIST.finditer(text):
+        for part in filter(None, (p.strip() for p in m[1].split(","))):
+            names = re.split(r"\s+as\s+", part.removeprefix("type "))
+            out.append({"fact": "export", "kind": "re-export" if m[2] else "alias" if len(names) > 1 else "local", "name": names[-1], "local": names[0], "specifier": m[2]})
+    return out
+
+
+_HERITAGE = re.compile(r"\b(class|interface)\s+([A-Za-z_$][\w$]*)[^{;]*?\{")
+_TYPE_REFERENCE = re.compile(r"[:<|&,]\s*([A-Z][\w$]*(?:\.[A-Z][\w$]*)*)")
+
+
+def _relations(code: str, rows: list[dict], types: bool) -> list[dict]:
+    """extends, implements and interface-extends; type references in TypeScript."""
+    out = []
+    for m in _HERITAGE.finditer(code):
+        head = re.sub(r"<[^<>]*>", "", m[0])
+        for word, kind in (("extends", "interface-extends" if m[1] == "interface" else "extends"), ("implements", "implements")):
+            found = re.search(rf"\b{word}\s+([\w$.,\s]+?)(?=\bimplements\b|\{{)", head)
+            out += [{"fact": "relationship", "kind": kind, "owner": m[2], "name": n.strip(), "confidence": 0.99} for n in (found[1].split(",") if found else ()) if n.strip()]
+    if types:
+        pairs = set()
+        for m in _TYPE_REFERENCE.finditer(code):
+            inner = [r for r in rows if r["at"] <= m.start() < r["end"]]
+            if inner:
+                pairs.add((max(inner, key=lambda r: r["at"])["qualified_name"], m[1]))
+        out += [{"fact": "relationship", "kind": "type-reference", "owner": o, "name": n, "confidence": 0.9} for o, n in sorted(pairs)]
+    return out
+
+
+_DATA_ATTRIBUTE = re.compile(r"\b(data-[\w-]+)\s*=\s*[{]?\s*['\"`]([^'\"`{}]*)['\"`]")
+_SELECTOR_CALL = re.compile(r"\b(?:querySelector(?:All)?|closest|matches|locator)\s*\(\s*(['\"`])(.*?)\1\s*\)")
+
+
+def _selectors(text: str, rows: list[dict]) -> list[dict]:
+    """Elements with data attributes produce selectors; selector calls consume them."""
+
+    def owner(at: int) -> str:
+        inner = [r for r in rows if r["at"] <= at < r["end"]]
+        return max(inner, key=lambda r: r["at"])["qualified_name"] if inner else "<module>"
+
+    taken = [(m.start(), m.end()) for m in _SELECTOR_CALL.finditer(text)]
+    out = [{"fact": "selector", "kind": "producer", "name": f"[{m[1]}={m[2]}]", "owner": owner(m.start()), "confidence": 0.95} for m in _DATA_ATTRIBUTE.finditer(text) if not any(a <= m.start() < z for a, z in taken)]
+    for m in _SELECTOR_CALL.finditer(text):
+        out += [{"fact": "selector", "kind": "consumer", "name": f"[{a}={v}]", "owner": owner(m.start()), "confidence": 0.95} for a, v in re.findall(r"\[(data-[\w-]+)=['\"]?([^'\"\]]+)['\"]?\]", m[2])]
+    return out
+
+
+_REGISTRY = re.compile(r"(?:^|[{,;])\s*(?:(?:const|let|var|export\s+const)\s+)?([A-Za-z_$][\w$]*)\s*[:=]\s*(['\"`])((?:https?://[^'\"`\s]+)|(?:/[\w:{}$./-]+))\2", re.M)
+
+
+def _endpoints(text: str) -> list[dict]:
+    """Literals that look like endpoints, kept in a registry or a variable: clients with any method."""
+    return [{"fact": "api", "kind": "client", "method": "ANY", "path": m[3], "name": m[1], "confidence": 0.75, "start_line": text.count("\n", 0, m.start(1)) + 1} for m in _REGISTRY.finditer(text)]
+
+
+_NEXT = re.compile(r"(?:^|/)(?:app/(?P<app>.*?)/?route\.[jt]sx?|pages/(?P<pages>api/.*?)(?:/index)?\.[jt]sx?)$")
+
+
+def framework_path(file_path: str) -> str | None:
+    """The route that a file's place means: app/**/route.* and pages/api/**; groups and slots don't count."""
+    m = _NEXT.search(file_path)
+    if not m:
+        return None
+    parts = [p for p in (m["app"] if m["app"] is not None else m["pages"]).split("/") if p and not (p.startswith("(") and p.endswith(")")) and not p.startswith("@")]
+    return "/" + "/".join(parts)
+
+
 class _Python(ast.NodeVisitor):
     def __init__(self, text: str):
         self.lines, self.rows, self.calls, self.stack = text.split("\n"), [], Counter(), []
@@ -218,6 +306,8 @@ class _Python(ast.NodeVisitor):
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_ClassDef(self, node):
+        owner = ".".join([*(n for n, _ in self.stack), node.name])
+        self.rows += [{"fact": "relationship", "kind": "extends", "owner": owner, "name": ast.unparse(b), "confidence": 0.99} for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
         self._define(node, "Class")
 
     def visit_Call(self, node):
@@ -308,7 +398,13 @@ def extract(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [{"repo_id": a, "file_path": b} | r for a, b, lang, text in zip(*(c.to_pylist() for c in batch.columns)) for r in facts_of(text, lang)]
+            rows = []
+            for a, b, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = facts_of(text, lang)
+                if route := framework_path(b):
+                    verbs = [m for m in ("GET", "POST", "PUT", "PATCH", "DELETE") if any(r["fact"] == "symbol" and r["name"] == m for r in own)]
+                    own += [{"fact": "api", "kind": "route", "method": m, "path": route, "name": m, "confidence": 0.95, "start_line": 1, "mode": "path"} for m in verbs or ["ANY"]]
+                rows += [{"repo_id": a, "file_path": b} | r for r in own]
             yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in _COLUMNS} for r in rows], schema=schema)
 
     return files.select("repo_id", "file_path", "language", "content").mapInArrow(run, FACTS)

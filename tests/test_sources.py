@@ -155,3 +155,28 @@ def test_streams(spark, tmp_path):
     q = watch.usage_windows(calls).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert sorted((r["tool"], r["calls"], r["failed"]) for r in spark.table("windows").collect()) == [("find", 2, 1), ("map", 1, 0)]
+
+
+def test_exports_heritage_selectors_and_paths():
+    text = "export * from './a';\nexport { b as c } from './b';\nexport default run;\nmodule.exports.z = q;\nexport class K extends ns.B implements I, J {\n  el(x: Shape) { return document.querySelector('[data-id=\"save\"]'); }\n}\nconst v = <b data-id=\"save\"/>;\nconst ENDPOINTS = { users: '/api/users' };\n"
+    rows = code.facts_of(text, "typescript")
+    pick = lambda fact, *keys: {tuple(r.get(k) for k in keys) for r in rows if r["fact"] == fact}
+    assert pick("export", "kind", "name", "specifier") >= {("re-export-all", "*", "./a"), ("re-export", "c", "./b"), ("default", "default", None), ("commonjs-named", "z", None), ("local", "K", None)}
+    assert pick("relationship", "kind", "name") >= {("extends", "ns.B"), ("implements", "I"), ("implements", "J"), ("type-reference", "Shape")}
+    assert pick("selector", "kind", "name") == {("consumer", "[data-id=save]"), ("producer", "[data-id=save]")}
+    assert ("client", "ANY", "/api/users") in pick("api", "kind", "method", "path")
+    assert code.framework_path("src/app/(shop)/users/[id]/@m/route.ts") == "/users/[id]" and code.framework_path("pages/api/x/index.js") == "/api/x" and code.framework_path("a/b.ts") is None
+
+
+def test_rule_files(tmp_path):
+    from tesselark.sources import rules
+
+    want = [{"id": "r1", "contains": "eval(", "severity": "high", "case_sensitive": False}]
+    assert rules.parse("# x\nrules:\n  - id: r1\n    contains: 'eval('\n    severity: high\n    case_sensitive: false\n") == want
+    (tmp_path / "r.json").write_text('{"rules": [{"id": "a", "contains": "b"}]}')
+    assert rules.load(str(tmp_path), "r.json") == [{"id": "a", "contains": "b"}]
+    for bad in ("../r.json", "/etc/passwd", "a\x00b"):
+        with pytest.raises(ValueError, match="unsafe"):
+            rules.load(str(tmp_path), bad)
+    with pytest.raises(ValueError, match="repeat"):
+        rules.parse('[{"id": "a", "contains": "b"}, {"id": "a", "contains": "c"}]')
