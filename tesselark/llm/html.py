@@ -46,6 +46,7 @@ _SCOPE = frozenset("article aside body div footer header html main nav section t
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _AWAY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar\w*|aside|menu\w*|nav|navbar|navigation|breadcrumbs?|masthead|header|foot|footer|copyright|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|commentlist|reply|replies|respond|disqus|discussion|newsletter|subscribe|signup|login|search|social|share|sharing|related|recommend\w*|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+_ASIDE = re.compile(r"(?:^|[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommend\w*|teaser\w*|widget)(?:$|[_-])", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?:[_-]?(?:body|content|text|main))?(?:$|[\s])", re.I)
 
 
@@ -110,22 +111,32 @@ class Page:
         self.tokens.append(f"{path}>{what}")
 
 
-def outside(element: tuple[str, str]) -> bool:
-    """Whether an element is no part of the main text."""
+def _words(marks: str) -> list[str]:
+    """Class, id and role words, without those that say what an element goes without or beside."""
+    return [w for v in re.split(r"(?:^| )(?:class|id|role)=", marks) for w in v.split() if not re.match(r"(?:no|not|with|without|has|hide|hidden)[_-]", w, re.I)]
+
+
+def outside(element: tuple[str, str], above: tuple = ()) -> bool:
+    """Whether an element is no part of the main text; an article's own header, with its title, is."""
     name, marks = element
+    if name == "header" and any(n == "article" for n, _ in above):
+        return False
     if name in _OUTSIDE:
         return True
-    if not marks or name in _MAIN or name in ("html", "body"):
+    if not marks or name in ("html", "body"):
         return False
-    return any(_AWAY.search(v.partition("=")[2]) for v in re.split(r" (?=(?:class|id|role)=)", marks))
+    return any((_ASIDE if name in _MAIN else _AWAY).search(w) for w in _words(marks))
 
 
 def inside(element: tuple[str, str]) -> int:
-    """How clearly an element marks the main region: 2 by its tag or role, 1 by its class or id."""
+    """How clearly an element marks the main region: 3 for an article, 2 for main, 1 by its class or id."""
     name, marks = element
-    if name in _MAIN or "role=main" in marks or "role=article" in marks:
+    words = _words(marks)
+    if name == "article" or "article" in words and "role=article" in marks:
+        return 3
+    if name == "main" or "role=main" in marks:
         return 2
-    return 1 if marks and name in ("div", "section", "td") and any(_CONTENT.search(v.partition("=")[2]) for v in re.split(r" (?=(?:class|id|role)=)", marks)) else 0
+    return 1 if name in ("div", "section", "td") and any(_CONTENT.search(w) for w in words) else 0
 
 
 def templates(pages: list[Page]) -> list[set[str]]:
@@ -181,7 +192,7 @@ def _clean(text: str) -> str:
 
 
 def main_text(page: Page, template: set[str], constant: Counter, support: Counter) -> str:
-    kept = [(r, max((inside(e) for e in r[2]), default=0)) for r in page.runs if not any(outside(e) for e in r[2])]
+    kept = [(r, max((inside(e) for e in r[2]), default=0)) for r in page.runs if not any(outside(e, r[2][:k]) for k, e in enumerate(r[2]))]
     best = max((m for r, m in kept if r[1].strip()), default=0)
     blocks: list[list[str]] = []
     skipped = True

@@ -264,6 +264,10 @@ def test_html(spark):
     assert got[3] == "Title 3\n\nBody & bold 3 more\n\ntwo é"
     assert (got[10], got[11], got[12], got[13]) == ("", "", "plain text", "in")
     assert got[22] == "T2\n\nBody 2"
+    one = lambda x: h.extract([x])[0]
+    assert one("<body><header>Site</header><div class='main-content no-sidebar'><p>in</p><div class='sidebar'>out</div></div></body>") == "in"
+    assert one("<main><article><header><h1>T</h1></header><p>x</p><footer>by</footer></article><section id='comments'><article class='comment'>c</article></section><article class='related-posts'>r</article></main>") == "T\n\nx"
+    assert one("<p>a<b>b</b>c &lt;d&gt;</p><!-- no --><p>e\n f") == "abc <d>\n\ne f"
     many = h.main_texts(pages, block_pages=2)
     assert many.count() == len(rows)
 
