@@ -210,3 +210,10 @@ def deduplicated_edges(spark, d):
 def ordered_steps(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey", "o_orderdate", F.row_number().over(w).alias("ordinal"))
+
+
+@q("""SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size > 20) AS total_rows FROM part WHERE p_size > 20 ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")
+def compact_answer(spark, d):
+    from ..plans.compact import compact
+
+    return compact(table(spark, d, "part").where("p_size > 20"), [F.desc("p_retailprice"), "p_partkey"], ["p_partkey", "p_name"])

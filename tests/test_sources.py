@@ -180,3 +180,20 @@ def test_rule_files(tmp_path):
             rules.load(str(tmp_path), bad)
     with pytest.raises(ValueError, match="repeat"):
         rules.parse('[{"id": "a", "contains": "b"}, {"id": "a", "contains": "c"}]')
+
+
+def test_state_and_compaction(spark, repository):
+    from tesselark.plans import compact
+    from tesselark.sources import state
+
+    before = state.inspect(str(repository))
+    assert before["head"] and before["dirty"] == [] and state.fresh(str(repository), before["snapshot_id"])
+    (repository / "new.py").write_text("x = 1\n")
+    assert not state.fresh(str(repository), before["snapshot_id"]) and state.inspect(str(repository))["dirty"] == ["new.py"]
+    assert state.inspect("/")["head"] is None
+    df = spark.createDataFrame([(k, f"t{k % 2}") for k in range(8)], "id int, text string")
+    top = compact.compact(df, ["id"], ["id"], 3).collect()
+    assert [r["id"] for r in top] == [0, 1, 2] and top[0]["total_rows"] == 8
+    first = compact.unseen(df, "text", df.limit(0).withColumn("text_sha256", df["text"]))
+    assert first.where("text is null").count() == 0
+    assert compact.unseen(df, "text", first.where("id = 0")).where("text is not null").count() == 4
