@@ -7,9 +7,9 @@
    hash, s+1 parts are the same in both; each class emits a hash of each part.  D follows
    from the size, in size intervals that adjacent classes share.  A class with fewer shared
    parts than that has no link, and two groups with fewer have none between them.
-3. The classes that share a part are dealt into groups of similar documents (same smallest
-   token, then bounded blocks).  A group stores its members and the union of their tokens:
-   a row of the token-group matrix.
+3. The classes that share a part are dealt into groups of similar documents: those that
+   share most parts with one of them, in bounded blocks.  A group stores its members and
+   the union of their tokens: a row of the token-group matrix.
 4. For two groups that share a part, a document of one is a query to the other: its overlap
    with the group's union bounds its overlap with every member, so only groups whose bound
    reaches the query's need are opened, and only there are exact overlaps counted.
@@ -115,7 +115,7 @@ def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, parts: bool) -> DataFrame:
-    """(doc, n, ha, hb, low[, need, parts]): set size, 128-bit set hash, smallest token and part hashes."""
+    """(doc, n, ha, hb[, need, parts]): set size, 128-bit set hash and part hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
     as_long = lambda x: x.view(np.int64)
 
@@ -124,16 +124,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         n = np.diff(bounds)
         sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ np.uint64(c)), dtype=np.uint64)]) for c in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
         ha, hb = (mix(x[bounds[1:]] - x[bounds[:-1]]) for x in sums)
-        low = np.zeros(len(n), np.uint64)
-        low[n > 0] = tokens[bounds[:-1][n > 0]]
-        out = [ids, n, as_long(ha), as_long(hb), as_long(low)]
+        out = [ids, n, as_long(ha), as_long(hb)]
         if parts:
             value, at, need = part_hashes(tokens, bounds, percent)
             out.append(need)
             out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(value))))
         return out
 
-    schema = f"doc {kind}, n long, ha long, hb long, low long" + (", need int, parts array<long>" if parts else "")
+    schema = f"doc {kind}, n long, ha long, hb long" + (", need int, parts array<long>" if parts else "")
     return map_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col, schema, rows)
 
 
@@ -208,18 +206,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     bounded_batches(spark)
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = signatures(docs, id_col, text_col, width, percent, False).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "ha", "hb", "low")))
+    slim = signatures(docs, id_col, text_col, width, percent, False).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "ha", "hb")))
     full = signatures(docs, id_col, text_col, width, percent, True).where("n > 0")
     classes = full.groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.any_value("need").alias("need"), F.any_value("parts").alias("parts"))
-    names = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
+    names = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
     member = slim.join(names.select("ha", "hb", "rep"), ["ha", "hb"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     dealt = classes.select("rep", "need", F.explode("parts").alias("part")).repartition(slots, "part")
     touching = stored(dealt.withColumn("m", F.count("*").over(Window.partitionBy("part"))).where("m > 1").drop("m"))
     # a set that shares fewer parts than a link needs has no link
-    able = touching.groupBy("rep").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("rep", "need").join(names.select("rep", "n", "low"), "rep")
-    able = stored(able)
-    weight = able.groupBy("low").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
-    placed = stored(able.join(weight, "low").select("rep", "need", F.xxhash64("low", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
+    able = stored(touching.groupBy("rep").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("rep", "need"))
+    close = touching.select("rep", "part").join(able.select("rep"), "rep", "left_semi")
+    # similar sets gather round one of them: each names the smallest of those it shares a part with, the most often named counts
+    leads = close.join(close.groupBy("part").agg(F.min("rep").alias("lead")), "part").groupBy("rep", "lead").agg(F.count("*").alias("m"))
+    lead = stored(leads.groupBy("rep").agg(F.max_by("lead", F.struct("m", "lead")).alias("lead")))
+    over = lead.select(F.col("rep").alias("lead"), F.col("lead").alias("up"))
+    sized = able.join(lead.join(over, "lead", "left").select("rep", F.coalesce("up", "lead").alias("lead")), "rep").join(names.select("rep", "n"), "rep")
+    sized = stored(sized)
+    weight = sized.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
+    placed = stored(sized.join(weight, "lead").select("rep", "need", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
     at = touching.select("rep", "part").join(placed, "rep").groupBy("part", "grp").agg(F.count("*").alias("m"), F.min("need").alias("need"))
     met = at.alias("l").join(at.alias("r"), "part").where("l.grp < r.grp or l.grp = r.grp and l.m > 1")
     met = met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("o")).agg(F.count("*").alias("m"), F.min(F.greatest("l.need", "r.need")).alias("need"))
@@ -228,16 +232,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(few(wanted.select("rep")), "rep", "left_semi")
     members = wanted.join(_tokens(texts, width).dropDuplicates(["rep"]), "rep")
     groups = stored(members.groupBy("grp").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))
-    both = pairs.join(groups.select(F.col("grp").alias("g"), F.col("members").alias("x")), "g")
-    both = both.join(groups.select(F.col("grp").alias("o"), F.col("members").alias("y")), "o").select("g", "o", "x", "y")
+    x, y = groups.select(F.col("grp").alias("g"), F.col("members").alias("x")), groups.select(F.col("grp").alias("o"), F.col("members").alias("y"))
+    alone = pairs.where("g = o").join(x, "g").select("g", "o", "x", F.lit(None).cast(groups.schema["members"].dataType).alias("y"))
+    both = alone.unionByName(pairs.where("g < o").join(x, "g").join(y, "o").select("g", "o", "x", "y"))
 
     def verify(batches):
         for batch in batches:
             a, b = [], []
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
+                other = batch.column(3)[k].as_py()
                 x = Group(batch.column(2)[k].as_py())
-                for p, q in forest(x, None if same else Group(batch.column(3)[k].as_py()), percent):
+                for p, q in forest(x, None if other is None else Group(other), percent):
                     a.append(p)
                     b.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(a, out[0].type), pa.array(b, out[1].type)], schema=out)
