@@ -33,8 +33,9 @@ from .components import components
 
 #: Tokens of a group, about; bounds what one task holds of it.
 GROUP_TOKENS = 1 << 17
-#: Parts beyond D+1.  Linked sets then have SPARE+1 parts in common at least, of which some may hold no token.
-SPARE = 16
+#: Parts beyond D+1: so many, and D divided by SPARE_SHARE.  Linked sets then have one part more than these in
+#: common at least, of which some may hold no token.
+SPARE, SPARE_SHARE = 16, 4
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +73,20 @@ def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[n
     """Hashes of the parts of each set, end to end, n+1 bounds, and how many of them a link needs in common.
 
     A set emits the parts of its own interval and of the next one, where it may be the smaller.
-    Parts without tokens are left out where a set has at most SPARE of them.
+    Parts without tokens are left out where a set has at most as many as there are spare ones.
     """
     size = np.diff(bounds)
     upper = intervals(int(size.max(initial=0)) * 100 // percent + 2, percent)
     own = np.searchsorted(upper, size)
     upper = np.append(upper, (upper[-1] + 1) * 100 // percent)
-    every, rows, need = [], [], np.full(len(size), SPARE + 1)
+    every, rows, need = [], [], np.full(len(size), np.iinfo(np.int32).max)
     row = np.repeat(np.arange(len(size)), size)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
     for step in (0, 1):
         level = own + step
         differ = 2 * upper[np.minimum(level, len(upper) - 1)] * (100 - percent) // (100 + percent)
-        k = np.where((size > 0) & (differ > 0), differ + 1 + SPARE, 0)
+        spare = SPARE + differ // SPARE_SHARE
+        k = np.where((size > 0) & (differ > 0), differ + 1 + spare, 0)
         base = np.cumsum(k) - k
         total = int(k.sum())
         if not total:
@@ -102,8 +104,8 @@ def part_hashes(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[n
         number = np.arange(total) - base[owner]
         label = (level[owner].astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
         blank = np.bincount(owner, empty, len(size)).astype(np.int64)
-        many = blank > SPARE
-        need = np.minimum(need, np.where(many, 1, SPARE + 1 - blank))
+        many = blank > spare
+        need = np.minimum(need, np.where(many, 1, spare + 1 - blank))
         use = ~empty | many[owner]
         every.append(mix(value + mix(label + np.uint64(1)))[use])
         rows.append(owner[use])
@@ -224,25 +226,27 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     sized = stored(sized)
     weight = sized.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
     placed = stored(sized.join(weight, "lead").select("rep", "need", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
-    at = touching.select("rep", "part").join(placed, "rep").groupBy("part", "grp").agg(F.count("*").alias("m"), F.min("need").alias("need"))
-    met = at.alias("l").join(at.alias("r"), "part").where("l.grp < r.grp or l.grp = r.grp and l.m > 1")
-    met = met.groupBy(F.col("l.grp").alias("g"), F.col("r.grp").alias("o")).agg(F.count("*").alias("m"), F.min(F.greatest("l.need", "r.need")).alias("need"))
-    pairs = stored(met.where("m >= need").select("g", "o"))
-    wanted = stored(placed.join(pairs.select(F.col("g").alias("grp")).union(pairs.select("o")).distinct(), "grp", "left_semi").select("rep", "grp"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(few(wanted.select("rep")), "rep", "left_semi")
-    members = wanted.join(_tokens(texts, width).dropDuplicates(["rep"]), "rep")
-    groups = stored(members.groupBy("grp").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))
-    x, y = groups.select(F.col("grp").alias("g"), F.col("members").alias("x")), groups.select(F.col("grp").alias("o"), F.col("members").alias("y"))
-    alone = pairs.where("g = o").join(x, "g").select("g", "o", "x", F.lit(None).cast(groups.schema["members"].dataType).alias("y"))
-    both = alone.unionByName(pairs.where("g < o").join(x, "g").join(y, "o").select("g", "o", "x", "y"))
+    seen = touching.select("rep", "part").join(placed, "rep")
+    held = seen.select("part", F.col("grp").alias("o")).distinct()
+    # a query to another group needs as many parts that some member has; both sides of a pair must have such queries
+    query = seen.join(held, "part").where("grp != o").groupBy("rep", "grp", "o").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need")
+    sided = query.select(F.least("grp", "o").alias("g"), F.greatest("grp", "o").alias("h"), "rep", (F.col("grp") < F.col("o")).alias("left"))
+    alone = placed.select(F.col("grp").alias("g"), F.col("grp").alias("h"), "rep", F.lit(None).cast("boolean").alias("left"))
+    asked = stored(sided.unionByName(alone))
+    live = asked.groupBy("g", "h").agg(F.max("left").alias("a"), F.min("left").alias("b"), F.count("*").alias("m")).where("a != b or a is null and m > 1").select("g", "h")
+    wanted = stored(asked.join(live, ["g", "h"], "left_semi"))
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(few(wanted.select("rep").distinct()), "rep", "left_semi")
+    members = stored(_tokens(texts, width).dropDuplicates(["rep"]))
+    both = wanted.join(members, "rep").groupBy("g", "h").agg(F.collect_list(F.struct("rep", "left", "tokens")).alias("x")).select("x")
 
     def verify(batches):
         for batch in batches:
             a, b = [], []
             for k in range(batch.num_rows):
-                other = batch.column(3)[k].as_py()
-                x = Group(batch.column(2)[k].as_py())
-                for p, q in forest(x, None if other is None else Group(other), percent):
+                rows = batch.column(0)[k].as_py()
+                x = Group([r for r in rows if r["left"] is not False])
+                y = None if rows[0]["left"] is None else Group([r for r in rows if not r["left"]])
+                for p, q in forest(x, y, percent):
                     a.append(p)
                     b.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(a, out[0].type), pa.array(b, out[1].type)], schema=out)
