@@ -221,8 +221,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     # similar sets gather round one of them: each names the smallest of those it shares a part with, the most often named counts
     leads = close.join(close.groupBy("part").agg(F.min("rep").alias("lead")), "part").groupBy("rep", "lead").agg(F.count("*").alias("m"))
     lead = stored(leads.groupBy("rep").agg(F.max_by("lead", F.struct("m", "lead")).alias("lead")))
-    over = lead.select(F.col("rep").alias("lead"), F.col("lead").alias("up"))
-    sized = able.join(lead.join(over, "lead", "left").select("rep", F.coalesce("up", "lead").alias("lead")), "rep").join(names.select("rep", "n"), "rep")
+    for _ in range(3):  # a lead is never larger than its set, so following leads ends at a family's root
+        over = lead.select(F.col("rep").alias("lead"), F.col("lead").alias("up"))
+        lead = stored(lead.join(over, "lead", "left").select("rep", F.coalesce("up", "lead").alias("lead")))
+    sized = able.join(lead, "rep").join(names.select("rep", "n"), "rep")
     sized = stored(sized)
     weight = sized.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
     placed = stored(sized.join(weight, "lead").select("rep", "need", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
