@@ -100,7 +100,7 @@ def articulation_points(spark, d):
 
 @q()
 def bridge_symbols(spark, d):
-    e = supplier_edges(spark, d).where("source < 40 and target < 40 and (source + target) % 3 = 0").select("source", "target")
+    e = supplier_edges(spark, d).select("source", "target")
     labels = graph.components(e, "source", "target").withColumnRenamed("node", "source")
     return quality.bridges(e, graph.articulation(e.join(labels, "source")))
 
