@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_api_path
 from ..operators import graph, quality, review, services
-from .common import EDGES_SQL, supplier_edges, table
+from .common import EDGES_SQL, all_supplier_edges, supplier_edges, table
 
 Q, O = {}, {}
 
@@ -100,14 +100,14 @@ def articulation_points(spark, d):
 
 @q()
 def bridge_symbols(spark, d):
-    e = supplier_edges(spark, d).select("source", "target")
+    e = all_supplier_edges(spark, d).select("source", "target")
     labels = graph.components(e, "source", "target").withColumnRenamed("node", "source")
     return quality.bridges(e, graph.articulation(e.join(labels, "source")))
 
 
 @q()
 def file_communities(spark, d):
-    e = supplier_edges(spark, d).where("confidence > 0.5").select(F.lit("repo").alias("repo_id"), "source", "target", F.col("confidence").alias("weight"))
+    e = all_supplier_edges(spark, d).where("confidence > 0.5").select(F.lit("repo").alias("repo_id"), "source", "target", F.col("confidence").alias("weight"))
     return graph.communities(e)
 
 

@@ -41,3 +41,16 @@ def test_bridges_of_every_supplier(spark, tmp_path):
     got = [r["node"] for r in QUERIES["bridge_symbols"](spark, d).collect()]
     assert got == [101, 104]
     assert set(got) == cut_nodes({(a, b) for o in LINKS for a, b in zip(o, o[1:])})
+
+
+def test_bridges_of_every_line_item(spark, tmp_path):
+    d = items(spark, tmp_path, LINKS, "N", 1998)
+    assert [r["node"] for r in QUERIES["bridge_symbols"](spark, d).collect()] == [101, 104]
+
+
+def test_communities_of_every_line_item(spark, tmp_path):
+    """Two triangles with one edge between them are two communities."""
+    d = items(spark, tmp_path, [[1, 2, 3, 1], [11, 12, 13, 11], [3, 11]], "N", 1998)
+    got = {r["node"]: r["community"] for r in QUERIES["file_communities"](spark, d).collect()}
+    assert sorted(got) == [1, 2, 3, 11, 12, 13]
+    assert got[1] == got[2] == got[3] != got[11] == got[12] == got[13]
