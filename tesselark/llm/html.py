@@ -1,15 +1,18 @@
 """Main-text extraction by equivalence-class template deduction over pages of one host.
 
 The pages of a host are dealt into bounded blocks.  In a block each tag becomes a token:
-its name, class, id and role, and the tags it stands in.  Tokens with equal occurrence
+its name, class, id and role (an end tag has its element's), and the tags it stands in.  Tokens with equal occurrence
 vectors (how often each page has them) form an equivalence class.  A class that occurs
 once in each of its pages, has at least two tokens and enough pages, and whose tokens keep
-one order, is valid; valid classes of a page whose tokens nest make its template.  Between
-consecutive template tokens lie the slots.  A slot is extracted if it belongs to the main
+one order, is valid; of two valid classes that cross on some page the one with fewer pages
+goes, so that the others nest and make the template.  Between consecutive template tokens,
+other than inline ones, lie the slots.  A slot is extracted if it belongs to the main
 region (an article, main or content element where the template or the page has one) and
 not to a menu, header, footer, sidebar, notice, advert, form, script, style or comment
-section.  Where no main region is marked, text that stands the same in most pages of the
-template is part of the template, not of a slot.
+section.  Text that stands the same in most pages of the template is part of the template,
+not of a slot: in a marked main region a slot whose whole text does, in three pages at
+least, and a paragraph of a longer slot that does, where eight pages have the slot; where
+no main region is marked, any text that does.  Pages with one main text count once.
 
 A block with fewer than three distinct pages gives no evidence for a template; there the
 page's own tags stand in for it.  Edge cases: null or empty html gives an empty text; a
@@ -32,6 +35,8 @@ from .common import bounded_batches
 #: Pages of a host that one task compares, about.
 BLOCK_PAGES = 256
 LEAST_PAGES = 3
+#: Pages that have a slot before a single paragraph of it counts as repeated.
+PARAGRAPH_PAGES = 8
 #: Hosts with more than BLOCK_PAGES pages are broadcast up to this many, and joined beyond.
 BROADCAST_HOSTS = 200_000
 
@@ -83,9 +88,10 @@ class Page:
                 put("\n")
             if closing:
                 spot = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+                own = stack[spot][1] if spot >= 0 else ""
                 if spot >= 0:
                     del stack[spot:]
-                self._token(f"/{name}", stack)
+                self._token(f"/{name} {own}".strip(), stack)
                 continue
             marks = " ".join(sorted(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _ATTRIBUTE.findall(m[3] or m[6] or "")))
             shut = _CLOSES.get(name) or ({"p"} if name in _BLOCKS_P else None)
@@ -153,18 +159,49 @@ def templates(pages: list[Page]) -> list[set[str]]:
     classes: dict[tuple, list[str]] = defaultdict(list)
     for t, v in where.items():
         classes[tuple(sorted(v.items()))].append(t)
-    out: list[set[str]] = [set() for _ in pages]
+    valid: list[tuple[list[int], list[str]]] = []
     for vector, tokens in classes.items():
         own = [k for k, n in vector]
         if len(own) < LEAST_PAGES or len(tokens) < 2 or any(n != 1 for _, n in vector):
             continue
         order = sorted(tokens, key=places[own[0]].__getitem__)
         if all(places[k][a] < places[k][b] for k in own[1:] for a, b in zip(order, order[1:])):
-            for k in own:
-                out[k].update(tokens)
+            valid.append((own, order))
+    out: list[set[str]] = [set() for _ in pages]
+    for own, tokens in nested(valid, places):
+        for k in own:
+            out[k].update(tokens)
     return out
 
 
+def nested(classes: list[tuple[list[int], list[str]]], places: list[dict[str, int]]) -> list[tuple[list[int], list[str]]]:
+    """The classes without those that cross another one on some page (a b a b); the one on more pages, then with more tokens, stays."""
+    classes = sorted(classes, key=lambda c: (-len(c[0]), -len(c[1]), c[1]))
+    on: list[list[tuple[int, int]]] = [[] for _ in places]
+    for c, (own, tokens) in enumerate(classes):
+        for k in own:
+            on[k].extend((places[k][t], c) for t in tokens)
+    gone: set[int] = set()
+    for marks in on:
+        left = Counter(c for _, c in marks)
+        open_: list[int] = []
+        for _, c in sorted(marks):
+            left[c] -= 1
+            if c in gone:
+                continue
+            if c not in open_:
+                open_.append(c)
+            while open_ and open_[-1] != c:  # the top has tokens to come: it crosses c
+                if open_[-1] < c:
+                    gone.add(c)
+                    open_.remove(c)
+                    break
+                gone.add(open_.pop())
+            if c not in gone and not left[c]:
+                open_.pop()
+    return [x for c, x in enumerate(classes) if c not in gone]
+
+
 def extract(texts: list[str]) -> list[str]:
     """The main text of each page of a block."""
     pages = [Page(t) for t in texts]
@@ -176,7 +213,46 @@ def extract(texts: list[str]) -> list[str]:
     support: Counter = Counter()
     for k in distinct.values():
         support.update({s for s in {template_slot(pages[k], template[k], r[0]) for r in pages[k].runs}})
-    return [main_text(p, t, constant, support) for p, t in zip(pages, template)]
+    found = [main_blocks(p, t, constant, support) for p, t in zip(pages, template)]
+    return ["\n\n".join(b) for b in own_blocks(found)]
+
+
+def own_blocks(found: list[tuple[bool, list[tuple[str, str]]]]) -> list[list[str]]:
+    """The texts of each page without what the template repeats in the slots of marked main regions."""
+    distinct = {tuple(x for _, x in blocks): blocks for marked, blocks in found if marked}
+    support, whole, single = Counter(), Counter(), Counter()
+    for blocks in distinct.values():
+        slots = by_slot(blocks)
+        support.update(slots.keys())
+        whole.update(slots.items())
+        single.update(set(blocks))
+    out = []
+    for marked, blocks in found:
+        slots = by_slot(blocks)
+        most = lambda n, slot: 2 * n > support[slot]
+        fixed = {s for s, x in slots.items() if marked and s and whole[s, x] >= LEAST_PAGES and most(whole[s, x], s)}
+        out.append([x for s, x in blocks if not (s in fixed or marked and s and support[s] >= PARAGRAPH_PAGES and most(single[s, x], s))])
+    return out
+
+
+def by_slot(blocks: list[tuple[str, str]]) -> dict[str, tuple[str, ...]]:
+    """All texts of each slot."""
+    slots: dict[str, list[str]] = {}
+    for s, x in blocks:
+        slots.setdefault(s, []).append(x)
+    return {s: tuple(x) for s, x in slots.items()}
+
+
+def block_slots(page: Page, template: set[str]) -> list[str]:
+    """The slot of each run among template tokens that aren't inline; '' before the first."""
+    out, last, i = [], "", 0
+    for r in page.runs:
+        for t in page.tokens[i : r[0]]:
+            if t in template and t.partition(">")[2].split(" ")[0].lstrip("/") not in _INLINE:
+                last = t
+        i = r[0]
+        out.append(last)
+    return out
 
 
 def template_slot(page: Page, template: set[str], at: int) -> str:
@@ -191,13 +267,14 @@ def _clean(text: str) -> str:
     return " ".join(_html.unescape(text).split())
 
 
-def main_text(page: Page, template: set[str], constant: Counter, support: Counter) -> str:
+def main_blocks(page: Page, template: set[str], constant: Counter, support: Counter) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether the page marks a main region, and the (slot, text) of each paragraph there."""
     kept = [(r, max((inside(e) for e in r[2]), default=0)) for r in page.runs if not any(outside(e, r[2][:k]) for k, e in enumerate(r[2]))]
     best = max((m for r, m in kept if r[1].strip()), default=0)
-    blocks: list[list[str]] = []
+    blocks: list[tuple[str, list[str]]] = []
     skipped = True
     here = {id(r) for r, m in kept if m >= best}
-    for r in page.runs:
+    for r, where in zip(page.runs, block_slots(page, template)):
         at, text, stack, pause = r
         if pause:
             skipped = True
@@ -211,11 +288,11 @@ def main_text(page: Page, template: set[str], constant: Counter, support: Counte
             if fixed or ("html" in names and "body" not in names):
                 continue
         if skipped or not blocks:
-            blocks.append([])
+            blocks.append((where, []))
             skipped = False
-        blocks[-1].append(text)
-    joined = (_clean("".join(b)) for b in blocks)
-    return "\n\n".join(b for b in joined if b)
+        blocks[-1][1].append(text)
+    joined = ((s, _clean("".join(b))) for s, b in blocks)
+    return best > 0, [(s, b) for s, b in joined if b]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_pages: int = BLOCK_PAGES) -> DataFrame:

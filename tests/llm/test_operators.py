@@ -272,6 +272,31 @@ def test_html(spark):
     assert many.count() == len(rows)
 
 
+def test_html_template_decides_in_main_regions():
+    from tesselark.llm import html as h
+
+    page = lambda k: f"<body><article><h1>Title {k}</h1><div>By the desk</div><p>Body <b>bold</b> {k}</p><p>More {k}</p><div class=x>Join <i>our</i> list</div></article>"
+    own = lambda k: f"Title {k}\n\nBody bold {k}\n\nMore {k}"
+    assert h.extract([page(k) for k in range(4)]) == [own(k) for k in range(4)]
+    # no evidence: two pages, or copies of one
+    few = h.extract([page(k) for k in range(2)])
+    assert few[1] == "Title 1\n\nBy the desk\n\nBody bold 1\n\nMore 1\n\nJoin our list"
+    assert h.extract([page(1)] * 9) == [few[1]] * 9
+    # a paragraph without a tag of its own kind repeats in enough pages
+    note = lambda k: f"<main><h1>T{k}</h1><p>One {k}</p><p>Two {k}</p><p>All rights reserved</p></main>"
+    assert h.extract([note(k) for k in range(9)]) == [f"T{k}\n\nOne {k}\n\nTwo {k}" for k in range(9)]
+
+
+def test_html_classes_that_cross_are_dropped():
+    from tesselark.llm import html as h
+
+    pages = [h.Page(x) for x in ["<i id=a><u id=c><i id=b><u id=d>"] * 3 + ["<i id=a><i id=b>"]]
+    kept = h.templates(pages)
+    assert all({t.partition(">")[2] for t in k} == {"i id=a", "i id=b"} for k in kept)
+    whole = [h.Page(x) for x in ["<i id=a><u id=c><u id=d><i id=b>"] * 3 + ["<i id=a><i id=b>"]]
+    assert len(h.templates(whole)[0]) == 4
+
+
 # op10 ---------------------------------------------------------------------------------------
 
 
