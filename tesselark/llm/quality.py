@@ -2,10 +2,11 @@
 
 Every measure is a Spark expression over the text, so the whole operator is one stage
 without a shuffle.  Repeats of three-word windows are found per text by sorting hashes of
-the windows packed with their positions.
+the windows packed with their positions; in a text of more than 16 million windows, whose
+positions don't fit beside the hash, pairs of hash and position are sorted.
 
-Edge cases: a null or empty text has no words and fails the base rules; a text holds up to
-16 million words (positions take 24 bits); rows repeat as given; extra columns are ignored.
+Edge cases: a null or empty text has no words and fails the base rules; rows repeat as
+given; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a window's position beside its hash; texts with more windows sort pairs.
+POSITION_BITS = 24
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of English, German, French and Spanish.
@@ -38,10 +41,15 @@ RULES = (
 def measures(text: Column) -> dict[str, Column]:
     """Named expressions over a text column that holds no nulls; later ones use earlier ones by name."""
     c = F.col
-    packed = F.expr("transform(h, (x, i) -> (x & -16777216L) | i)")
+    high, low = f"{-1 << POSITION_BITS}L", f"{(1 << POSITION_BITS) - 1}L"
+    packed = F.expr(f"transform(h, (x, i) -> (x & {high}) | i)")
     # equal leading bits name a candidate; the whole hashes at both positions decide
-    same = lambda j: f"((x & -16777216L) = (p[{j}] & -16777216L) and h[cast(x & 16777215L as int)] = h[cast(p[{j}] & 16777215L as int)])"
+    same = lambda j: f"((x & {high}) = (p[{j}] & {high}) and h[cast(x & {low} as int)] = h[cast(p[{j}] & {low} as int)])"
     near = F.expr(f"filter(p, (x, i) -> (i > 0 and {same('i - 1')}) or (i + 1 < size(p) and {same('i + 1')}))")
+    # no packing for more windows than positions
+    pairs = F.expr("array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', cast(i as bigint))))")
+    met = F.expr("filter(pp, (x, i) -> (i > 0 and x.h = pp[i - 1].h) or (i + 1 < size(pp) and x.h = pp[i + 1].h))")
+    repeats, long = F.size(F.array_distinct("h")) < F.size("h"), F.size("h") > F.lit(1 << POSITION_BITS)
     return {
         "w": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""),
         "n_words": F.size("w").cast("long"),
@@ -51,8 +59,9 @@ def measures(text: Column) -> dict[str, Column]:
         "n_lines": F.size("lines").cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "h": F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))"),
-        "p": F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(packed)).otherwise(F.expr("cast(array() as array<bigint>)")),
-        "again": F.array_sort(F.transform(near, lambda x: x.bitwiseAND(F.lit(16777215)))),
+        "p": F.when(~long & repeats, F.sort_array(packed)).otherwise(F.expr("cast(array() as array<bigint>)")),
+        "pp": F.when(long & repeats, pairs).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:bigint>>)")),
+        "again": F.when(long, F.array_sort(F.transform(met, lambda x: x["i"]))).otherwise(F.array_sort(F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))))),
         "n_repeat_words": F.expr("aggregate(again, named_struct('n', 0L, 'end', 0L), (a, x) -> named_struct('n', a.n + x + 3 - greatest(a.end, x), 'end', x + 3), a -> a.n)"),
         "n_stop": F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
         "n_upper": (F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long"),

@@ -249,6 +249,17 @@ def test_quality_rules(spark):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
+def test_quality_rules_beyond_packed_positions(spark, monkeypatch):
+    """With two bits for positions, most texts have more windows than fit."""
+    from tesselark.llm import quality as q
+
+    texts = [*EDGES, "a b c a b c a b c", "a b c d e f g h i a b c", "a b c d e f", " ".join(map(str, range(40))) + " 1 2 3 7 8 9", *(prose(k, 80) for k in range(3)), "the of and " * 30]
+    want = q.measure(frame(spark, texts)).orderBy("doc_id").collect()
+    monkeypatch.setattr(q, "POSITION_BITS", 2)
+    assert q.measure(frame(spark, texts)).orderBy("doc_id").collect() == want
+    assert [r["n_repeat_words"] for r in want][len(EDGES) : len(EDGES) + 4] == [9, 6, 0, 12]
+
+
 # op9 ----------------------------------------------------------------------------------------
 
 
