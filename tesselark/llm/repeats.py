@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by anchored window hashing, in place of bucket-pointer refinement.
 
 A suffix array of all bytes isn't sorted; only its buckets are refined until each says
 whether a window of `length` bytes occurs twice.
@@ -11,10 +11,12 @@ whether a window of `length` bytes occurs twice.
    throughout.  What is left differs only further away from the anchor: one record of each
    distinct run goes on.
 2. Refinement: a run is cut into shorter runs of windows, at fixed offsets from the anchor,
-   and put into the bucket of (its bucket, the bytes that all its windows share).  That is the
-   bucket of a longer prefix, found from the identifier of the shorter one.  The rules of
-   step 1 apply again, with runs of 13 windows and then with single windows, where bucket
-   and run are the same.
+   and put into the bucket of (its bucket, the bytes that all its windows share), which are
+   read from the text again and hashed.  The rules of step 1 apply again, with runs of 13
+   windows and then with single windows, where bucket and run are the hash of the window.
+
+Bucket-pointer refinement proper would use the identifiers of the buckets at later offsets
+instead of the bytes; that needs a record at every offset, where here only anchors have one.
 
 Runs that repeat within a text (a periodic one is nothing else) are merged before the
 shuffle.  The initial buckets are counted by pre-aggregation, and rows meet their bucket's
