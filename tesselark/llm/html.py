@@ -203,18 +203,17 @@ def nested(classes: list[tuple[list[int], list[str]]], places: list[dict[str, in
 
 
 def extract(texts: list[str]) -> list[str]:
-    """The main text of each page of a block."""
-    pages = [Page(t) for t in texts]
+    """The main text of each page of a block, whatever their order."""
+    distinct = sorted(set(texts))
+    pages = [Page(t) for t in distinct]
     template = templates(pages)
-    distinct = {t: k for k, t in enumerate(texts)}
-    constant: Counter = Counter()
-    for k in distinct.values():
-        constant.update({(template_slot(pages[k], template[k], r[0]), _clean(r[1])) for r in pages[k].runs if r[1].strip()})
-    support: Counter = Counter()
-    for k in distinct.values():
-        support.update({s for s in {template_slot(pages[k], template[k], r[0]) for r in pages[k].runs}})
+    constant, support = Counter(), Counter()
+    for p, t in zip(pages, template):
+        constant.update({(template_slot(p, t, r[0]), _clean(r[1])) for r in p.runs if r[1].strip()})
+        support.update({template_slot(p, t, r[0]) for r in p.runs})
     found = [main_blocks(p, t, constant, support) for p, t in zip(pages, template)]
-    return ["\n\n".join(b) for b in own_blocks(found)]
+    own = dict(zip(distinct, own_blocks(found)))
+    return ["\n\n".join(own[t]) for t in texts]
 
 
 def own_blocks(found: list[tuple[bool, list[tuple[str, str]]]]) -> list[list[str]]:

@@ -308,6 +308,16 @@ def test_html_classes_that_cross_are_dropped():
     assert len(h.templates(whole)[0]) == 4
 
 
+def test_html_does_not_depend_on_the_order_of_pages():
+    """Classes a and b cross, b and c do: which of them stay must not follow from the page met first."""
+    from tesselark.llm import html as h
+
+    page = lambda k, names: f"<article><p>Text {k}</p>" + "".join(f"<div id={n}>{'Join us' if n == 'c1' else ''}</div>" for n in names) + f"<p>More {k}</p></article>"
+    kinds = [("b1", "c1", "b2", "c2")] * 3 + [("a1", "b1", "a2", "b2")] * 3 + [("c1", "c2")] * 2 + [("a1", "a2")] * 5
+    texts = [page(k, names) for k, names in enumerate(kinds)]
+    assert h.extract(texts[::-1])[::-1] == h.extract(texts)
+
+
 # op10 ---------------------------------------------------------------------------------------
 
 
