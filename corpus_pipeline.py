@@ -24,7 +24,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents repeat; n_chars follows the text."""
     got = lines.dedupe(docs)
     changed = F.col("__n_dropped") > 0
-    return got.withColumns({"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    length = F.char_length("__kept").cast(docs.schema["n_chars"].dataType)
+    text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
+    n_chars = F.when(changed, length).otherwise(F.col("n_chars"))
+    return got.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of any benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), least_items=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
