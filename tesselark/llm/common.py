@@ -64,6 +64,18 @@ def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def one_text_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents with an id: one row each, with the greatest text where rows of an id differ."""
+    from pyspark.sql import functions as F
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    again = few(rows.groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id"))
+    if again.isEmpty():
+        return rows
+    merged = rows.join(again, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    return rows.join(again, "id", "left_anti").unionByName(merged)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

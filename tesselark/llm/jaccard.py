@@ -8,17 +8,23 @@
    from the size, in size intervals that adjacent classes share.  A class with fewer shared
    parts than that has no link, and two groups with fewer have none between them.
 3. The classes that share a part are dealt into groups of similar documents: those that
-   share most parts with one of them, in bounded blocks.  A group stores its members and
-   the union of their tokens: a row of the token-group matrix.
-4. For two groups that share a part, a document of one is a query to the other: its overlap
-   with the group's union bounds its overlap with every member, so only groups whose bound
-   reaches the query's need are opened, and only there are exact overlaps counted.
+   share most parts with one of them, their lead, in bounded blocks.  A group stores its
+   members and the union of their tokens: a row of the token-group matrix.
+4. A document that is a query to a group is compared with the group's union first; that
+   overlap bounds the one with every member, so only groups whose bound reaches the query's
+   need are opened, and only there are exact overlaps counted.  First every group meets
+   itself and the group of its lead, which connects large families at a cost linear in
+   their size.  Then the sets of parts whose sets aren't all connected yet are queries to
+   the other groups that share enough parts with them through a set of another component.
 5. A pair of groups reports a spanning forest of its links, not all of them; components
    are found over those.
 
 No candidate is capped or dropped.  Edge cases: a null or empty text, or one without
 words, has no shingles and stays alone; a text shorter than a shingle is one shingle;
-repeated rows of an id are one document; rows without an id are left out.
+repeated rows of an id are one document, of which the greatest text counts where they
+differ; rows without an id are left out; a very long text is one set, which may fill a
+group alone; of linked documents (all tie) the smallest id names the component; an empty
+table gives an empty result; columns beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bounded_batches, few, map_text, mix, ragged, stored, words
+from .common import NOT_SPACE, bounded_batches, few, map_text, mix, one_text_each, ragged, stored, words
 from .components import components
 
 #: Tokens of a group, about; bounds what one task holds of it.
 GROUP_TOKENS = 1 << 17
+#: Documents with one set from which on their class is broadcast, while such classes are few.
+HOT_COPIES = 1_000
 #: Parts beyond D+1: so many, and D divided by SPARE_SHARE.  Linked sets then have one part more than these in
 #: common at least, of which some may hold no token.
 SPARE, SPARE_SHARE = 16, 4
@@ -134,7 +142,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         return out
 
     schema = f"doc {kind}, n long, ha long, hb long" + (", need int, parts array<long>" if parts else "")
-    return map_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col, schema, rows)
+    return map_text(docs, id_col, text_col, schema, rows)
 
 
 def _tokens(docs: DataFrame, width: int) -> DataFrame:
@@ -155,19 +163,18 @@ class Group:
     def __init__(self, members: list[dict]):
         members.sort(key=lambda m: m["rep"])
         self.ids = [m["rep"] for m in members]
-        sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
-        self.sets, self.size = sets, np.array([len(x) for x in sets])
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
+        self.size = np.array([len(x) for x in self.sets])
+        flat = np.concatenate(self.sets)
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
-        self.union, self.first = np.unique(self.flat, return_index=True)
-        self.count = np.diff(np.append(self.first, len(self.flat)))
+        self.owner = np.repeat(np.arange(len(self.sets)), self.size)[order]
+        self.union, self.first = np.unique(flat[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(flat)))
 
     def overlaps(self, query: np.ndarray, need: int) -> np.ndarray | None:
         """Overlap of the query with each member, or None where the union shows that none reaches `need`."""
-        at = np.searchsorted(self.union, query)
-        at = at[(at < len(self.union))] if len(self.union) else at[:0]
-        hit = at[self.union[at] == query[: len(at)]] if len(at) == len(query) else np.searchsorted(self.union, np.intersect1d(query, self.union, True))
+        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        hit = at[self.union[at] == query]
         if len(hit) < need:
             return None
         return np.bincount(self.owner[ragged(self.first[hit], self.count[hit])], minlength=len(self.ids))
@@ -178,42 +185,81 @@ def forest(x: Group, y: Group | None, percent: int) -> list[tuple]:
     z = x if y is None else y
     ids = x.ids if y is None else x.ids + y.ids
     shift = 0 if y is None else len(x.ids)
-    root = list(range(len(ids)))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
+    label = np.arange(len(ids))
     edges = []
     for i, q in enumerate(x.sets):
         n = len(q)
-        need = -(-percent * n // 100)
-        if (o := z.overlaps(q, need)) is None:
+        if (o := z.overlaps(q, -(-percent * n // 100))) is None:
             continue
-        for j in np.flatnonzero(100 * o >= percent * (n + z.size - o)).tolist():
-            if y is None and j <= i:
-                continue
-            a, b = find(i), find(shift + j)
-            if a != b:
-                root[max(a, b, key=lambda v: ids[v])] = min(a, b, key=lambda v: ids[v])
-                edges.append((ids[i], ids[shift + j]))
+        near = shift + np.flatnonzero(100 * o >= percent * (n + z.size - o))
+        apart = near[label[near] != label[i]]
+        if len(apart):
+            others, one = np.unique(label[apart], return_index=True)
+            edges += [(ids[i], ids[k]) for k in apart[one].tolist()]
+            label[np.isin(label, others)] = label[i]
     return edges
 
 
+def _verified(asked: DataFrame, members: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(a, b) spanning forests of the pairs of groups asked for as (g, h, rep, left).
+
+    `left` is true for members of g, false for those of h and null where a group meets itself.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    sides = asked.groupBy("g", "h").agg(F.max("left").alias("a"), F.min("left").alias("b"), F.count("*").alias("m"))
+    live = sides.where("a != b or a is null and m > 1").select("g", "h")
+    full = asked.join(live, ["g", "h"], "left_semi").join(members, "rep")
+    both = full.groupBy("g", "h").agg(F.collect_list(F.struct("rep", "left", "tokens")).alias("x")).select("x")
+    schema = f"a {kind}, b {kind}"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def verify(batches):
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                rows = batch.column(0)[k].as_py()
+                x = Group([r for r in rows if r["left"] is not False])
+                y = None if rows[0]["left"] is None else Group([r for r in rows if not r["left"]])
+                for p, q in forest(x, y, percent):
+                    a.append(p)
+                    b.append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(a, out[0].type), pa.array(b, out[1].type)], schema=out)
+
+    return stored(both.mapInArrow(verify, schema))
+
+
+def classed(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, n, rep): the set size of each document and the smallest document with the same set.
+
+    Classes with many members are met through a broadcast while there are few of them, so that
+    their rows stay where they are.
+    """
+    slim = stored(signatures(texts, "id", "text", width, percent, False))
+    same = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.count("*").alias("m")).where("m > 1")
+    names = stored(same)
+    hot = few(names.where(F.col("m") > HOT_COPIES).select("ha", "hb", F.col("rep").alias("hot")))
+    cold = names.where(F.col("m") <= HOT_COPIES).select(F.col("ha").alias("ka"), F.col("hb").alias("kb"), F.col("rep").alias("cold"))
+    met = slim.join(hot, ["ha", "hb"], "left")
+    # what is settled, or has no set, goes to no one's key
+    free = F.col("hot").isNotNull() | (F.col("n") == 0)
+    met = met.withColumn("ka", F.when(free, F.xxhash64("doc")).otherwise(F.col("ha")))
+    met = met.withColumn("kb", F.when(free, F.xxhash64("doc", F.lit(1))).otherwise(F.col("hb")))
+    return stored(met.join(cold, ["ka", "kb"], "left").select("doc", "n", F.coalesce("hot", "cold", "doc").alias("rep")))
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """((doc, n, rep) of every document, (a, b) forest of links between class representatives)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = signatures(docs, id_col, text_col, width, percent, False).groupBy("doc").agg(*(F.first(c).alias(c) for c in ("n", "ha", "hb")))
-    full = signatures(docs, id_col, text_col, width, percent, True).where("n > 0")
-    classes = full.groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.any_value("need").alias("need"), F.any_value("parts").alias("parts"))
-    names = slim.where("n > 0").groupBy("ha", "hb").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
-    member = slim.join(names.select("ha", "hb", "rep"), ["ha", "hb"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    dealt = classes.select("rep", "need", F.explode("parts").alias("part")).repartition(slots, "part")
+    texts = one_text_each(docs, id_col, text_col)
+    member = classed(texts, width, percent)
+    copies = few(member.where("rep != doc").select(F.col("doc").alias("id")))
+    parts = signatures(texts.join(copies, "id", "left_anti"), "id", "text", width, percent, True)
+    dealt = parts.where("n > 0").select(F.col("doc").alias("rep"), "need", F.explode("parts").alias("part")).repartition(slots, "part")
     touching = stored(dealt.withColumn("m", F.count("*").over(Window.partitionBy("part"))).where("m > 1").drop("m"))
     # a set that shares fewer parts than a link needs has no link
     able = stored(touching.groupBy("rep").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("rep", "need"))
@@ -224,40 +270,30 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     for _ in range(3):  # a lead is never larger than its set, so following leads ends at a family's root
         over = lead.select(F.col("rep").alias("lead"), F.col("lead").alias("up"))
         lead = stored(lead.join(over, "lead", "left").select("rep", F.coalesce("up", "lead").alias("lead")))
-    sized = able.join(lead, "rep").join(names.select("rep", "n"), "rep")
-    sized = stored(sized)
+    sized = stored(able.join(lead, "rep").join(member.select(F.col("doc").alias("rep"), "n"), "rep"))
     weight = sized.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
-    placed = stored(sized.join(weight, "lead").select("rep", "need", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
-    seen = touching.select("rep", "part").join(placed, "rep")
-    held = seen.select("part", F.col("grp").alias("o")).distinct()
+    placed = stored(sized.join(weight, "lead").select("rep", "need", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
+    wanted = texts.withColumnRenamed("id", "rep").join(few(able.select("rep")), "rep", "left_semi")
+    members = stored(_tokens(wanted, width))
+    # every group meets itself and the group that its lead is in: as many pairs as there are groups
+    heads = placed.where("rep = lead").select("lead", F.col("grp").alias("h"))
+    ties = stored(placed.select("lead", F.col("grp").alias("g")).distinct().join(heads, "lead").where("g != h").select("g", "h"))
+    own = placed.select("rep", "grp")
+    asked = own.select(F.col("grp").alias("g"), F.col("grp").alias("h"), "rep", F.lit(None).cast("boolean").alias("left"))
+    asked = asked.unionByName(ties.join(own, F.col("g") == F.col("grp")).select("g", "h", "rep", F.lit(True).alias("left")))
+    asked = asked.unionByName(ties.join(own, F.col("h") == F.col("grp")).select("g", "h", "rep", F.lit(False).alias("left")))
+    edges = _verified(asked, members, kind, percent)
+    # what is connected by now needs no more links; a part whose sets are all connected is settled
+    found = components(edges).select(F.col("node").alias("rep"), "component")
+    joined = stored(placed.join(found, "rep", "left").select("rep", "need", "grp", F.coalesce("component", "rep").alias("comp")))
+    seen = touching.select("rep", "part").join(joined, "rep")
+    mixed = seen.groupBy("part").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("part")
+    seen = stored(seen.join(mixed, "part", "left_semi"))
+    held = seen.select("part", F.col("grp").alias("o"), F.col("comp").alias("c")).distinct()
     # a query to another group needs as many parts that some member has; both sides of a pair must have such queries
-    query = seen.join(held, "part").where("grp != o").groupBy("rep", "grp", "o").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need")
-    sided = query.select(F.least("grp", "o").alias("g"), F.greatest("grp", "o").alias("h"), "rep", (F.col("grp") < F.col("o")).alias("left"))
-    alone = placed.select(F.col("grp").alias("g"), F.col("grp").alias("h"), "rep", F.lit(None).cast("boolean").alias("left"))
-    asked = stored(sided.unionByName(alone))
-    live = asked.groupBy("g", "h").agg(F.max("left").alias("a"), F.min("left").alias("b"), F.count("*").alias("m")).where("a != b or a is null and m > 1").select("g", "h")
-    wanted = stored(asked.join(live, ["g", "h"], "left_semi"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(few(wanted.select("rep").distinct()), "rep", "left_semi")
-    members = stored(_tokens(texts, width).dropDuplicates(["rep"]))
-    both = wanted.join(members, "rep").groupBy("g", "h").agg(F.collect_list(F.struct("rep", "left", "tokens")).alias("x")).select("x")
-
-    def verify(batches):
-        for batch in batches:
-            a, b = [], []
-            for k in range(batch.num_rows):
-                rows = batch.column(0)[k].as_py()
-                x = Group([r for r in rows if r["left"] is not False])
-                y = None if rows[0]["left"] is None else Group([r for r in rows if not r["left"]])
-                for p, q in forest(x, y, percent):
-                    a.append(p)
-                    b.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(a, out[0].type), pa.array(b, out[1].type)], schema=out)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out = to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}"))
-    return member, both.mapInArrow(verify, f"a {kind}, b {kind}")
+    query = seen.join(held, "part").where("grp != o and comp != c").groupBy("rep", "grp", "o", "c").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need")
+    sided = query.select(F.least("grp", "o").alias("g"), F.greatest("grp", "o").alias("h"), "rep", (F.col("grp") < F.col("o")).alias("left")).distinct()
+    return member, edges.unionByName(_verified(stored(sided), members, kind, percent))
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
