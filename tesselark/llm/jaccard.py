@@ -14,8 +14,10 @@
    overlap bounds the one with every member, so only groups whose bound reaches the query's
    need are opened, and only there are exact overlaps counted.  First every group meets
    itself and the group of its lead, which connects large families at a cost linear in
-   their size.  Then the sets of parts whose sets aren't all connected yet are queries to
-   the other groups that share enough parts with them through a set of another component.
+   their size.  Of the sets of parts whose sets aren't all connected yet, those leave whose
+   overlap with the union of all other components bounds their similarity below the
+   threshold; the others are dealt into groups anew and are queries to the families that
+   share enough parts with them through sets of other components.
 5. A pair of groups reports a spanning forest of its links, not all of them; components
    are found over those.
 
@@ -201,17 +203,19 @@ def forest(x: Group, y: Group | None, percent: int) -> list[tuple]:
 
 
 def _verified(asked: DataFrame, members: DataFrame, kind: str, percent: int) -> DataFrame:
-    """(a, b) spanning forests of the pairs of groups asked for as (g, h, rep, left).
+    """(a, b) spanning forests of the pairs of groups asked for as (f, i, h, j, rep, left).
 
-    `left` is true for members of g, false for those of h and null where a group meets itself.
+    A group is block i of family f; `left` is true for its members, false for those of block j
+    of family h, and null where a group meets itself.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    sides = asked.groupBy("g", "h").agg(F.max("left").alias("a"), F.min("left").alias("b"), F.count("*").alias("m"))
-    live = sides.where("a != b or a is null and m > 1").select("g", "h")
-    full = asked.join(live, ["g", "h"], "left_semi").join(members, "rep")
-    both = full.groupBy("g", "h").agg(F.collect_list(F.struct("rep", "left", "tokens")).alias("x")).select("x")
+    pair = ["f", "i", "h", "j"]
+    sides = asked.groupBy(*pair).agg(F.max("left").alias("a"), F.min("left").alias("b"), F.count("*").alias("m"))
+    live = sides.where("a != b or a is null and m > 1").select(*pair)
+    full = asked.join(live, pair, "left_semi").join(members, "rep")
+    both = full.groupBy(*pair).agg(F.collect_list(F.struct("rep", "left", "tokens")).alias("x")).select("x")
     schema = f"a {kind}, b {kind}"
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -230,6 +234,87 @@ def _verified(asked: DataFrame, members: DataFrame, kind: str, percent: int) ->
     return stored(both.mapInArrow(verify, schema))
 
 
+def _blocks(size: str) -> F.Column:
+    """How many blocks of GROUP_TOKENS hold the sets of a family."""
+    return F.ceil(F.sum(size) / F.lit(GROUP_TOKENS)).cast("int").alias("blocks")
+
+
+def _block(blocks: str) -> F.Column:
+    return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+
+
+def _within_families(placed: DataFrame) -> DataFrame:
+    """Every group with itself and with the group that its lead is in: as many pairs as there are groups."""
+    own = placed.select("rep", "f", "i")
+    heads = own.select(F.col("rep").alias("f"), F.col("f").alias("h"), F.col("i").alias("j"))
+    ties = stored(own.select("f", "i").distinct().join(heads, "f").where("f != h or i != j"))
+    alone = own.select("f", "i", F.col("f").alias("h"), F.col("i").alias("j"), "rep", F.lit(None).cast("boolean").alias("left"))
+    left = ties.join(own, ["f", "i"]).withColumn("left", F.lit(True))
+    right = ties.join(own.select("rep", F.col("f").alias("h"), F.col("i").alias("j")), ["h", "j"]).withColumn("left", F.lit(False))
+    return alone.unionByName(left).unionByName(right)
+
+
+def _between_components(seen: DataFrame) -> DataFrame:
+    """The pairs of groups, dealt anew, that sets of different components may be linked through.
+
+    A set is a query to a family of which a part's sets have other components; it needs as many
+    such parts, and both sides of a pair of families must have queries to the other.
+    """
+    held = seen.groupBy("part", F.col("f").alias("o")).agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+    met = seen.join(held, "part").where("a != comp or b != comp").groupBy("rep", "f", "o")
+    query = met.agg(F.count("*").alias("m"), F.first("need").alias("need"), F.first("n").alias("n")).where("m >= need")
+    query = stored(query.select("rep", "n", "f", "o"))
+    inner = query.where("f = o")
+    inner = inner.join(inner.groupBy("f").agg(_blocks("n")), "f").withColumn("own", _block("blocks")).withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
+    within = inner.select("f", F.least("own", "k").alias("i"), F.col("f").alias("h"), F.greatest("own", "k").alias("j"), "rep", F.expr("nullif(own, k) < k").alias("left"))
+    cross = query.where("f != o").select("rep", "n", F.least("f", "o").alias("f"), F.greatest("f", "o").alias("h"), (F.col("f") < F.col("o")).alias("left"))
+    sides = cross.groupBy("f", "h", "left").agg(_blocks("n"))
+    cross = cross.join(sides, ["f", "h", "left"]).join(sides.select("f", "h", (~F.col("left")).alias("left"), F.col("blocks").alias("others")), ["f", "h", "left"])
+    cross = cross.withColumn("own", _block("blocks")).withColumn("k", F.explode(F.expr("sequence(0, others - 1)")))
+    between = cross.select("f", F.expr("if(left, own, k)").alias("i"), "h", F.expr("if(left, k, own)").alias("j"), "rep", "left")
+    return stored(within.unionByName(between))
+
+
+def _apart(seen: DataFrame) -> DataFrame:
+    """The rows (part, rep, need, n, f, comp) of parts that several components have; a part of one component is settled."""
+    mixed = seen.groupBy("part").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("part")
+    return stored(seen.join(mixed, "part", "left_semi"))
+
+
+def _reachable(seen: DataFrame, members: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """The rows of sets that a set of another component may reach, by the overlap with the union of all others.
+
+    Of a set's n tokens only those count that another component has, o of them.  A partner has
+    as many parts in common as the set needs, so that it is no smaller than that many of the
+    smallest sets of its parts allow: it has `low` tokens at least.  The similarity is then at
+    most o / (n + max(low, o) - o).  Sets below the threshold leave, and what only they share
+    with others counts no more; each round costs the tokens once, whatever the size of a group.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def spread(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t = np.frombuffer(batch.column(2)[k].as_py(), np.int64)
+                for i in range(0, len(t), 1 << 16):
+                    x = t[i : i + (1 << 16)]
+                    same = pa.array(np.zeros(len(x), np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).take(same), batch.column(1).slice(k, 1).take(same), pa.array(x)], names=["rep", "comp", "token"])
+
+    whose = members.join(seen.select("rep", "comp").distinct(), "rep").select("rep", "comp", "tokens")
+    tokens = stored(whose.mapInArrow(spread, f"rep {kind}, comp {kind}, token long"))
+    for _ in range(rounds):
+        live = tokens.join(seen.select("rep").distinct(), "rep", "left_semi")
+        common = live.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
+        over = live.join(common, "token", "left_semi").groupBy("rep").agg(F.count("*").alias("o"))
+        least = seen.groupBy("part").agg(F.min("n").alias("least"))
+        lows = seen.join(least, "part").groupBy("rep").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.sort_array(F.collect_list("least")).alias("lows"))
+        lows = lows.where("size(lows) >= need").select("rep", "n", F.element_at("lows", F.col("need")).alias("low"))
+        kept = lows.join(over, "rep").where(F.expr(f"100 * o >= {percent} * (n + greatest(low, o) - o)")).select("rep")
+        seen = _apart(seen.join(stored(kept), "rep", "left_semi"))
+    return seen
+
+
 def classed(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc, n, rep): the set size of each document and the smallest document with the same set.
 
@@ -271,29 +356,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         over = lead.select(F.col("rep").alias("lead"), F.col("lead").alias("up"))
         lead = stored(lead.join(over, "lead", "left").select("rep", F.coalesce("up", "lead").alias("lead")))
     sized = stored(able.join(lead, "rep").join(member.select(F.col("doc").alias("rep"), "n"), "rep"))
-    weight = sized.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).alias("blocks"))
-    placed = stored(sized.join(weight, "lead").select("rep", "need", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "blocks")).alias("grp")))
     wanted = texts.withColumnRenamed("id", "rep").join(few(able.select("rep")), "rep", "left_semi")
     members = stored(_tokens(wanted, width))
-    # every group meets itself and the group that its lead is in: as many pairs as there are groups
-    heads = placed.where("rep = lead").select("lead", F.col("grp").alias("h"))
-    ties = stored(placed.select("lead", F.col("grp").alias("g")).distinct().join(heads, "lead").where("g != h").select("g", "h"))
-    own = placed.select("rep", "grp")
-    asked = own.select(F.col("grp").alias("g"), F.col("grp").alias("h"), "rep", F.lit(None).cast("boolean").alias("left"))
-    asked = asked.unionByName(ties.join(own, F.col("g") == F.col("grp")).select("g", "h", "rep", F.lit(True).alias("left")))
-    asked = asked.unionByName(ties.join(own, F.col("h") == F.col("grp")).select("g", "h", "rep", F.lit(False).alias("left")))
-    edges = _verified(asked, members, kind, percent)
-    # what is connected by now needs no more links; a part whose sets are all connected is settled
+    weight = sized.groupBy("lead").agg(_blocks("n"))
+    placed = stored(sized.join(weight, "lead").select("rep", "need", "n", F.col("lead").alias("f"), _block("blocks").alias("i")))
+    edges = _verified(_within_families(placed), members, kind, percent)
+    # what is connected by now needs no more links
     found = components(edges).select(F.col("node").alias("rep"), "component")
-    joined = stored(placed.join(found, "rep", "left").select("rep", "need", "grp", F.coalesce("component", "rep").alias("comp")))
-    seen = touching.select("rep", "part").join(joined, "rep")
-    mixed = seen.groupBy("part").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("part")
-    seen = stored(seen.join(mixed, "part", "left_semi"))
-    held = seen.select("part", F.col("grp").alias("o"), F.col("comp").alias("c")).distinct()
-    # a query to another group needs as many parts that some member has; both sides of a pair must have such queries
-    query = seen.join(held, "part").where("grp != o and comp != c").groupBy("rep", "grp", "o", "c").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need")
-    sided = query.select(F.least("grp", "o").alias("g"), F.greatest("grp", "o").alias("h"), "rep", (F.col("grp") < F.col("o")).alias("left")).distinct()
-    return member, edges.unionByName(_verified(stored(sided), members, kind, percent))
+    joined = stored(placed.join(found, "rep", "left").select("rep", "need", "n", "f", F.coalesce("component", "rep").alias("comp")))
+    seen = _reachable(_apart(touching.select("rep", "part").join(joined, "rep")), members, percent)
+    return member, edges.unionByName(_verified(_between_components(seen), members, kind, percent))
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
