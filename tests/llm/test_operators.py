@@ -227,6 +227,32 @@ def test_repeats(spark):
     assert r.remove(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_rows_with_one_id_or_none(spark):
+    """Rows are told apart by id and text; extra columns named as the operator's own don't matter."""
+    from tesselark.llm import repeats as r
+
+    a, b, c = prose(1, 90), prose(2, 150), prose(3, 70)
+    rows = [(1, a), (1, b + a), (1, b), (None, c), (None, c + b), (2, a), (2, a), (3, "x" * 250 + c), (4, prose(5, 90))]
+    docs = spark.createDataFrame([(i, t, 1, 2, "s", 3) for i, t in rows], "doc_id long, text string, row long, twin long, spans string, core long")
+    got = r.remove(docs).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    want = brute_repeats(list(enumerate(t for _, t in rows)), 200)
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=repr)
+    text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert sorted((tuple(x) for x in r.remove(text).select("n_bytes", F.size("spans")).collect())) == sorted((want[k][0], want[k][2]) for k in want)
+
+
+def test_repeats_in_very_long_texts(spark, monkeypatch):
+    """Parts and chunks much smaller than the text."""
+    from tesselark.llm import repeats as r
+
+    monkeypatch.setattr(r, "_PIECE", 700)
+    monkeypatch.setattr(r, "_CHUNK", 900)
+    shared = prose(7, 300)
+    texts = [prose(8, 500) + shared + prose(9, 200), shared[100:1500] + prose(10, 300) + shared[:900], prose(11, 800)]
+    got = r.remove(frame(spark, texts)).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.size("spans"), F.sha2("kept", 256))
+    assert {x[0]: tuple(x[1:]) for x in got.collect()} == brute_repeats(list(enumerate(texts)), 200)
+
+
 # op8 ----------------------------------------------------------------------------------------
 
 
