@@ -202,12 +202,12 @@ def _cut(b: np.ndarray, begin: np.ndarray, core: np.ndarray, low: np.ndarray, hi
 def _refine(placed: DataFrame, open_: DataFrame, step: int, length: int) -> DataFrame:
     """Records of runs of `step` windows out of the open ones; needs the texts' q-grams."""
     lists = open_.groupBy("row", "twin").agg(F.collect_list(F.struct("core", "at", "low", "high")).alias("runs"))
-    joined = placed.join(lists, ["row", "twin"]).select("row", "twin", "text", "runs")
+    joined = placed.join(lists, ["row", "twin"]).select("row", "twin", "id", "text", "runs")  # all columns: one exchange of the texts is reused
 
     def run(batches):
         for batch in batches:
-            data, off = utf8(batch.column(2))
-            runs_ = batch.column(3)
+            data, off = utf8(batch.column(3))
+            runs_ = batch.column(4)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(runs_.offsets.to_numpy()))
             fields = runs_.flatten()
             core, at, low, high = (pc_field(fields, name) for name in ("core", "at", "low", "high"))
@@ -275,14 +275,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         done = done.unionByName(more)
     cover = done.select("row", "twin", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     spans = cover.groupBy("row", "twin").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = placed.join(spans, ["row", "twin"], "left").select("row", "id", "text", "spans")
+    joined = placed.join(spans, ["row", "twin"], "left").select("row", "twin", "id", "text", "spans")
     schema = f"{id_col} {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def cut(batches):
         for batch in batches:
-            data, off = utf8(batch.column(2))
-            lists = batch.column(3)
+            data, off = utf8(batch.column(3))
+            lists = batch.column(4)
             kept, found = [], []
             for k in range(batch.num_rows):
                 b = data[off[k] : off[k + 1]]
@@ -298,6 +298,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 flank = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 found.append([{"start": int(a), "end": int(z)} for a, z in zip(np.flatnonzero(flank == 1), np.flatnonzero(flank == -1))])
                 kept.append(b[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(off)), pa.array(found, out[2].type), pa.array(kept, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.diff(off)), pa.array(found, out[2].type), pa.array(kept, pa.binary())], schema=out)
 
     return joined.mapInArrow(cut, schema)
