@@ -6,23 +6,25 @@ the automaton doesn't hold.  The automaton is the minimal acyclic one of the mos
 frequent words (shared prefixes and shared suffixes).  Each transition carries how many
 words sort before it, so the sum along a path is the word's number and the output is a
 slice of one id array.  It is compiled once on the driver, packed into a double array,
-shipped as one bounded block and memory-mapped by every Python worker of an executor.
+shipped as one bounded block and memory-mapped by every Python worker, from memory and not
+from a folder of the executor's machine.
 
 Edge cases: a null or empty text has no ids; a null id is kept; repeated rows give
 repeated results; a text that contains an added token's string gets that token's id, as
-the tokenizers library does by default.
+the tokenizers library does by default; a very long text is encoded whole, and takes memory
+in proportion to its length; words tie for the lexicon's last places by their count's class,
+of which all or none enter, which changes no id; an empty table gives an empty result;
+columns beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import contextlib
-import glob
 import hashlib
 import heapq
 import json
 import mmap
 import os
-import tempfile
 from array import array
 
 import numpy as np
@@ -193,23 +195,14 @@ def compile_lexicon(words: list[bytes], merger: Merger) -> bytes:
 
 
 class Lexicon:
-    """The automaton, read from a memory-mapped file that the workers of an executor share."""
+    """The automaton, memory-mapped from a file without a name that ends with its worker."""
 
     def __init__(self, block: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.fst")
-        for _ in range(8):  # another worker may replace the folder's lexicon between the two steps
-            if not os.path.exists(path):
-                for old in glob.glob(os.path.join(tempfile.gettempdir(), "lexicon-*.fst")):  # of earlier corpora; maps of it stay valid
-                    with contextlib.suppress(OSError):
-                        os.unlink(old)
-                with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                    f.write(block)
-                os.replace(f.name, path)
-            with contextlib.suppress(FileNotFoundError), open(path, "rb") as f:
-                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-                break
-        else:
-            raise OSError(f"can't map {path}")
+        f = os.memfd_create("lexicon")
+        with open(f, "wb", closefd=False) as whole:
+            whole.write(block)
+        self.map = mmap.mmap(f, 0, access=mmap.ACCESS_READ)
+        os.close(f)  # the map stays
         n = int.from_bytes(self.map[:8], "little")
         head = json.loads(self.map[8 : 8 + n])
         at = 8 + n + (-n % 8)
@@ -459,7 +452,7 @@ def _shared(docs: DataFrame, tokenizer: str, text_col: str, lexicon_words: int):
     block = compile_lexicon(frequent_words(docs, text_col, v.added, lexicon_words), Merger(v.byte_ids, v.merges))
     sizes = np.array([len(b) for b in v.bytes_of], np.int64)
     flat = np.frombuffer(b"".join(v.bytes_of), np.uint8)
-    key = hashlib.sha256(block).hexdigest()
+    key = hashlib.sha256(block + v.byte_ids.tobytes() + v.merges.tobytes() + flat.tobytes() + repr(sorted(v.added.items())).encode()).hexdigest()
     return docs.sparkSession.sparkContext.broadcast((key, block, v.byte_ids, v.merges, v.added, sizes, np.cumsum(sizes) - sizes, flat))
 
 

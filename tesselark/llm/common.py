@@ -1,7 +1,8 @@
 """Shared helpers: Arrow text access, vectorised word hashing and checkpointing.
 
 Text is handled as UTF-8 bytes straight from the Arrow buffers, in pieces of about a
-megabyte, so that temporary arrays stay small however long a document or a batch is.
+megabyte; a single longer text is a piece of its own, so that temporary arrays are bounded
+by that or by a small multiple of the longest text, not by a batch.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ PIECE = 1 << 20
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 _powers: list[np.ndarray] = []
+_tables: list[str] = []
 
 #: White space of the operators' contracts: space and \t\n\v\f\r.
 SPACE = np.zeros(256, bool)
@@ -34,25 +36,43 @@ LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's own folder, or one made here where none is set."""
+    """Make checkpoint() usable: the session's own folder, or one made here in local mode where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared checkpoint folder and read again: lineage ends here.
 
-    The table outlives lost executors; it is deleted when the driver exits.
+    The table outlives lost executors; it is deleted by release(), or when the driver exits.
     """
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _tables:
+        atexit.register(release, spark)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> int:
+    """How many stored tables there are."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the stored tables from number `first` to before `last`, whose rows nothing reads any more."""
+    for k in range(first, len(_tables) if last is None else last):
+        if _tables[k]:
+            _delete(spark, _tables[k])
+            _tables[k] = ""
+
+
 def few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, stored and counted, with a broadcast hint if it has at most `rows` rows; for narrow rows such as ids.
 

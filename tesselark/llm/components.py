@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links every node to its smallest neighbour, follows those links twice over
     and contracts the edges; a round's tables are checkpointed, so lineage stays short and
-    a lost executor costs one round.
+    a lost executor costs one round.  Null ends and loops are no edges; repeated edges count
+    once; an empty table gives an empty result; other columns play no part.
     """
     shared_dir(edges.sparkSession)
     kind = edges.schema[a].dataType

@@ -7,8 +7,15 @@ missing an occurrence; where it says zero, the bucket of that suffix hash lists
 patterns to test, their word hashes are compared and then their bytes.  Many text
 segments are scanned in step, so each step is one gather over an array.
 
+A benchmark beyond `block_bytes` is searched a block at a time, over rows that are numbered
+and stored first; the result is the same for every size of block.
+
 Edge cases: a null or empty text, or one without words, has no hits; an item without
-words has no windows; repeated items count separately, by item_id; rows repeat as given.
+words has no windows; items without an id are left out; an item's repeated rows are one
+item; rows repeat as given, each with its own result, with or without an id; a very long
+text is scanned whole, in segments; all items that hold a window tie, all are reported; an
+empty table of documents or items gives no rows or no hits; columns beside id and text play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, bounded_batches, few, map_text, mix, pieces, utf8, words
+from .common import ALNUM, LOWER, bounded_batches, few, map_text, mix, pieces, stored, utf8, words
 
 #: Bytes of benchmark text in one matcher set; larger benchmarks are searched in several passes.
 BLOCK_BYTES = 16 << 20
@@ -127,15 +134,29 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str =
     schema = f"{id_col} {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
     if blocks == 1:
         return _pass(docs, bench, window, id_col, text_col, schema)
-    tagged = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("x")).alias("k"), F.col(text_col).alias("t"))
-    schema = schema.replace(f"{id_col} {kind}", f"k struct<id:{kind},x:bigint>")
+    rows = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "uid")
+    found = _in_blocks(rows.select(F.struct("uid", "id").alias("k"), "t"), bench, blocks, window)
+    return found.select(F.col("k.id").alias(id_col), "n_words", "spans", "items")
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row, stored, so that every pass sees the same numbers."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _in_blocks(rows: DataFrame, bench: DataFrame, blocks: int, window: int) -> DataFrame:
+    """(k, n_words, spans, items) of rows (k, t), whose k are unique: a pass for each block of the benchmark, merged by k."""
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
     every = None
     for b in range(blocks):
-        one = _pass(tagged, bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), window, "k", "t", schema)
+        one = _pass(rows, bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b), window, "k", "t", schema)
         every = one if every is None else every.unionByName(one)
-    merged = every.groupBy("k").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr("aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))")
-    return merged.select(F.col("k.id").alias(id_col), "n_words", joined.alias("spans"), "items")
+    spans, items = F.flatten(F.collect_list("spans")), F.flatten(F.collect_list("items"))
+    merged = every.groupBy("k").agg(F.max("n_words").alias("n_words"), F.sort_array(spans).alias("s"), F.array_sort(F.array_distinct(items)).alias("items"))
+    last = "element_at(a, -1)"
+    grown = f"concat(slice(a, 1, size(a) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end))))"
+    joined = f"aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> if(size(a) > 0 and {last}.end >= x.start, {grown}, concat(a, array(x))))"
+    return merged.select("k", "n_words", F.expr(joined).alias("spans"), "items")
 
 
 def _pass(docs: DataFrame, bench: DataFrame, window: int, id_col: str, text_col: str, schema: str) -> DataFrame:
@@ -194,16 +215,21 @@ def report(found: DataFrame, id_col: str = "doc_id", least_items: int = 2) -> Da
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, with windows of fewer than `least_items` items.
 
-    With one block of patterns rows are dropped where they are read; with several, by a join.
+    With one block of patterns rows are dropped where they are read; with several, by a join of row numbers.
     """
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null")
     size = bench.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     if size > block_bytes:
-        found = report(search(docs, benchmark, window, id_col, text_col, item_col, item_text_col, block_bytes), id_col, least_items)
-        return docs.join(few(found.where("contaminated").select(id_col)), id_col, "left_anti").select(*docs.columns)
+        uid = "uid"
+        while uid in docs.columns:
+            uid += "_"
+        rows = _numbered(docs, uid)
+        found = _in_blocks(rows.select(F.col(uid).alias("k"), F.col(text_col).alias("t")), bench, -(-size // block_bytes), window)
+        gone = few(found.where(F.size("items") >= least_items).select(F.col("k").alias(uid)))
+        return rows.join(gone, uid, "left_anti").select(*docs.columns)
     got = bench.collect()  # within block_bytes
     tables = docs.sparkSession.sparkContext.broadcast(matchers([r[0] for r in got], [r[1] for r in got], window))
     at = docs.columns.index(text_col)

@@ -7,9 +7,15 @@ probability, each weighted by the bytes that it holds.  For scoring, embedding a
 are folded into tables that are indexed by a byte or a pair of bytes, so a window costs
 five gathers per position.
 
+Learning is from a bounded sample: about `docs_each` documents of each language, those with
+the smallest hash of their id, and `windows_each` windows of each, spread evenly over it.
+
 Edge cases: `und` with score 0 for a null text or one without a letter; a text of any
-length is read whole; null languages aren't learned from; without labelled rows every
-text is `und`.
+length is read whole, a few hundred windows at a time; null languages, texts and ids aren't
+learned from; without labelled rows every text is `und`; repeated rows are scored alike, and
+learned from as often as they are; languages with one score tie for the first by name; an
+empty table gives an empty result; columns other than id, text and lang play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,21 +31,26 @@ from .toxicity import _Shared, held_out
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
 #: Documents of each language that are learned from, about; those with the smallest hash of their id.
 TRAIN_DOCS_EACH = 600
+#: Windows of each such document.
 TRAIN_WINDOWS_EACH = 6
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 
 
-def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows as a byte matrix padded with zeros, row of each, bytes in each)."""
-    size = np.diff(off)
-    n = -(-size // WINDOW)
+def windows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, row, number of bytes) of each window of the rows."""
+    n = -(-np.diff(off) // WINDOW)
     row = np.repeat(np.arange(len(n)), n)
     start = off[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
-    left = np.minimum(off[1:][row] - start, WINDOW)
-    at = start[:, None] + np.arange(WINDOW)
-    x = data[np.minimum(at, len(data) - 1)] if len(data) else np.zeros((0, WINDOW), np.uint8)
-    x[np.arange(WINDOW) >= left[:, None]] = 0
-    return x, row, left
+    return start, row, np.minimum(off[1:][row] - start, WINDOW)
+
+
+def contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The windows as a byte matrix, padded with zeros."""
+    if not len(start):
+        return np.zeros((0, WINDOW), np.uint8)
+    x = data[np.minimum(start[:, None] + np.arange(WINDOW), len(data) - 1)]
+    x[np.arange(WINDOW) >= size[:, None]] = 0
+    return x
 
 
 class Network:
@@ -122,38 +133,40 @@ class Network:
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class number, probability) of each row; rows without bytes get class 0."""
-        x, row, left = windows(data, off)
+        start, row, left = windows(off)
         total = np.zeros((len(off) - 1, len(self.classes)))
-        for k in range(0, len(x), 512):
-            part = self.log_probabilities(x[k : k + 512]) * left[k : k + 512, None]
-            np.add.at(total, row[k : k + 512], part)
+        for k in range(0, len(start), 512):
+            x = contents(data, start[k : k + 512], left[k : k + 512])
+            np.add.at(total, row[k : k + 512], self.log_probabilities(x) * left[k : k + 512, None])
         total /= np.maximum(np.diff(off), 1)[:, None]
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         return p.argmax(1), p.max(1)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = TRAIN_DOCS_EACH) -> tuple[list[str], list[np.ndarray]] | None:
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = TRAIN_DOCS_EACH, windows_each: int = TRAIN_WINDOWS_EACH
+) -> tuple[list[str], list[np.ndarray]] | None:
     """(languages, parameters) from a bounded sample of the documents that are not held out."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null and i is not null").where(~held_out("i"))
-    counts = {r[0]: r[1] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(1000).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, docs_each / n))])
+    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
+    known = known.where("l is not null and t is not null and i is not null").where(~held_out("i"))
+    counts = known.groupBy("l").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.where(draw < F.try_element_at(share, F.col("l")))
-    per = TRAIN_WINDOWS_EACH
+    picked = known.join(counts, "l").where(draw < docs_each / F.col("n"))
+    per = windows_each
 
     def cut(batches):
         for batch in batches:
             data, off = utf8(batch.column(1))
-            x, row, left = windows(data, off)
+            start, row, left = windows(off)
             keep = []
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for k in range(batch.num_rows):
                 a, b = first[k], first[k + 1]
                 keep += sorted({int(a + (b - a) * j // per) for j in range(per)}) if b > a else []
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row[keep])), batch.column(0).take(pa.array(row[keep])), pa.array([x[k].tobytes() for k in keep], pa.binary())], names=["l", "i", "x"])
+            x = contents(data, start[keep], left[keep])
+            own = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(own), batch.column(0).take(own), pa.array([y.tobytes() for y in x], pa.binary())], names=["l", "i", "x"])
 
     def fit(batches):
         got = sorted((l, repr(i), k) for b in batches for l, i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))

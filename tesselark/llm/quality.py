@@ -6,7 +6,9 @@ the windows packed with their positions; in a text of more than 16 million windo
 positions don't fit beside the hash, pairs of hash and position are sorted.
 
 Edge cases: a null or empty text has no words and fails the base rules; rows repeat as
-given; extra columns are ignored.
+given, with or without an id; a very long text is measured whole; a measure at its limit (a
+tie) passes; an empty table gives an empty result; columns beside id and text play no part,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,11 @@ is the logistic function of its non-zero weights' sum.
 
 Edge cases: a null or empty text has the bias alone as its score; labels without a
 document, null labels and null ids are ignored; one document with several labels is
-learned from once per row; without labels every score is that of the bias, 0.
+learned from once per row, repeated rows of a document as often as they are; rows are scored
+one by one, repeated ones alike; a very long text is read whole; a score of exactly the
+limit (a tie) counts as toxic; without labels every score is that of the bias, one half; an
+empty table of documents gives an empty result; columns beside id and text play no part,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ word shapes (runs of upper-case, lower-case, digits and each symbol), pairs of s
 repeated neighbours, as shares of the text.  The scorer is applied to every document.
 
 Edge cases: a null or empty text has only abstentions, the share as posterior and the bias
-as score; an empty table gives an empty result; repeated rows are scored alike.
+as score; an empty table gives an empty result, and a model that knows no pattern; repeated
+rows are counted and learned from as often as they are, and scored alike; rows with a null id
+are counted and scored, but not learned from; a very long text is read whole; a score of
+exactly one half (a tie) counts as good; columns beside id and text play no part, whatever
+their names.
 """
 
 from __future__ import annotations
