@@ -1,7 +1,14 @@
 """A corpus pipeline of five operators: toxicity, line dedup, near duplicates, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's
-result as Parquet in the shared folder and gives it, read again, to the next stage.
+result as Parquet in the shared folder and gives it, read again, to the next stage; the tables
+that a stage made for itself are deleted then.
+
+Edge cases, alike in every stage: a null or empty text is kept and is no one's copy; rows
+without an id lose no line and are no one's copy, and are judged by their text alone
+elsewhere; repeated rows stay or go together; very long texts are read whole; ties go to the
+smallest id (near copies) or the largest (lines); empty tables pass through; other columns
+are handed on as they are, whatever their names, and n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.llm import bpe, decontaminate, jaccard, lines, toxicity
-from tesselark.llm.common import few, stored
+from tesselark.llm.common import few, release, stored, tables
 from tesselark.llm.queries import table, tokenizer_path
 
 
@@ -61,6 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    first = tables()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        # all that is stored but the stage's result, which is the last
+        release(spark, first, tables() - 1)
+        first = tables() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
