@@ -13,8 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import blast_risk, clamp, is_entry_path, like_contains
-from .operators import fleet, graph, history, memory, processes, quality, ranges, ranking, review, search, services, temporal, usage
+from .functions.text import clamp, is_entry_path
+from .operators import catalog, fleet, graph, history, memory, processes, quality, ranges, ranking, review, search, services, temporal, usage
 from .plans import find_code as code_search
 from .plans import index
 from .sources import git
@@ -114,18 +114,11 @@ class Engine:
         return count(t["files"], "files", "language").unionByName(count(t["symbols"], "symbols", "kind")).unionByName(count(t["edges"], "edges", "kind")).orderBy("what", "key")
 
     def get_index_diagnostics(self, repo_id: str | None = None) -> DataFrame:
-        calls = self.tables(repo_id)["calls"]
-        each = [F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0)).alias(s) for s in ("resolved", "ambiguous", "unresolved")]
-        return calls.agg(F.count("*").alias("calls"), *each).withColumn("resolution_rate", F.coalesce(F.try_divide("resolved", "calls"), F.lit(1.0)))
+        return catalog.diagnostics(self.tables(repo_id)["calls"])
 
     def find_symbol(self, name: str, repo_id: str | None = None, fuzzy: bool = True, kind: str | None = None, file_path: str | None = None, limit: int | None = None) -> DataFrame:
-        s = self.tables(repo_id)["symbols"]
-        n = name.lower()
-        hit = s.where(like_contains("name", name) | like_contains("qualified_name", name)) if fuzzy else s.where((F.col("name") == name) | (F.col("qualified_name") == name))
-        hit = hit.where(F.col("kind") == kind) if kind else hit
-        hit = hit.where(F.col("file_path") == file_path) if file_path else hit
-        rank = F.when(F.lower("qualified_name") == n, 0).when(F.lower("name") == n, 1).when(F.lower("name").startswith(n), 2).otherwise(3)
-        return hit.withColumn("match_rank", rank).orderBy("match_rank", "name", "file_path", "start_line").limit(clamp(limit, 20, 1, 100)).drop("body")
+        hit = catalog.symbol_matches(self.tables(repo_id)["symbols"], name, fuzzy, kind, file_path)
+        return hit.orderBy("match_rank", "name", "file_path", "start_line").limit(clamp(limit, 20, 1, 100)).drop("body")
 
     def best_symbol(self, name: str, repo_id: str | None = None, file_path: str | None = None) -> str:
         s = self.tables(repo_id)["symbols"]
@@ -227,30 +220,97 @@ class Engine:
         changed = self.changed_ranges(diff, changes)
         symbols = t["symbols"].where("kind != 'Module'").withColumn("symbol", F.col("stable_key"))
         mapped = cut(ranges.map_ranges(changed, symbols))
-        reached = graph.impact(self.symbol_edges(repo_id), mapped.select(F.col("symbol").alias("node")), "upstream", clamp(impact_depth, 3, 1, 15))
+        reached = cut(graph.impact(self.symbol_edges(repo_id), mapped.select(F.col("symbol").alias("node")), "upstream", clamp(impact_depth, 3, 1, 15)))
         unmapped = changed.join(mapped.select("file_path").distinct(), "file_path", "left_anti").withColumn("reason", F.lit("no_symbol_in_range"))
+        partners = self._partners(repo_id, changed.select("file_path").distinct())
+        strong = partners.where("coupling >= 0.5 and cochanges >= 2").agg(F.count_distinct("partner").alias("strong_cochanges"))
+        governed = self._decided(mapped.select("symbol").distinct())
         total = reached.join(symbols.select(F.col("symbol").alias("node"), "file_path"), "node").agg(F.count_distinct("node").alias("symbols"), F.count_distinct("file_path").alias("files"))
-        counts = total.crossJoin(mapped.agg(F.count("*").alias("changed_symbols"))).crossJoin(unmapped.agg(F.count("*").alias("unmapped"))).withColumn("strong_cochanges", F.lit(0)).withColumn("decisions", F.lit(0))  # one row each
-        return {"ranges": changed, "symbols": mapped, "unmapped": unmapped, "impact": reached, "risk": review.aggregate_risk(counts)}
+        counts = total.crossJoin(mapped.agg(F.count_distinct("symbol").alias("changed_symbols"))).crossJoin(changed.agg(F.count_distinct("file_path").alias("changed_files")))
+        counts = counts.crossJoin(unmapped.agg(F.count("*").alias("unmapped"))).crossJoin(strong).crossJoin(governed.agg(F.count_distinct("decision_id").alias("decisions")))  # one row each
+        return {"ranges": changed, "symbols": mapped, "unmapped": unmapped, "impact": reached, "cochange": partners, "decisions": governed, "risk": review.aggregate_risk(counts)}
+
+    def _partners(self, repo_id: str | None, files: DataFrame, since: str = "1 year ago", max_commits: int = 1000) -> DataFrame:
+        """Files that change together with some files, other than these, by the git log of the indexed root; none where it is no repository."""
+        repo, _ = self.repository(repo_id)
+        root = self.latest("generations", "repo_id").where(F.col("repo_id") == repo).head()["root"]
+        try:
+            git.git(root, "rev-parse", "HEAD")
+        except Exception:  # no repository, or one without commits
+            return self.spark.createDataFrame([], "target string, partner string, cochanges long, coupling double")
+        targets = files.select(F.col("file_path").alias("file"))
+        found = history.partners(git.read_log(self.spark, root, since, max_commits), targets)
+        return cut(found.join(targets.select(F.col("file").alias("partner")), "partner", "left_anti"))
+
+    def _decided(self, symbols: DataFrame) -> DataFrame:
+        """(decision_id, title, symbol) of the active decisions about some symbols."""
+        scopes = self.log("decision_scopes").where("scope_type = 'symbol'").select("decision_id", F.col("scope_key").alias("symbol"))
+        return self.decisions().where("status = 'active'").join(scopes, "decision_id").join(symbols, "symbol", "left_semi").select("decision_id", "title", "symbol")
 
     def review_change(self, repo_id: str | None = None, diff: str | None = None, changes: list[dict] | None = None, rules: tuple[dict, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """(findings, verdict) of a change: its reach, the complexity, churn and use of its symbols, its lines, rules and decisions."""
         if diff is None and not changes:
             raise ValueError("a diff or changed ranges are required")
         pre = self.change_preflight(repo_id, diff, changes)
-        risk = pre["impact"].join(self.tables(repo_id)["symbols"].select(F.col("stable_key").alias("node"), "file_path"), "node").groupBy("origin").agg(F.count_distinct("node").alias("symbols"), F.count_distinct("file_path").alias("files")).withColumn("risk", blast_risk("symbols", "files"))
-        wide = risk.where("risk in ('critical', 'high')").select(F.when(F.col("risk") == "critical", "high").otherwise("medium").alias("severity"), F.lit(0.9).alias("confidence"), F.lit("cross-module-blast-radius").alias("code"), F.substring_index("origin", ":", 1).alias("file_path"), F.lit(1).cast("int").alias("line"), F.col("origin").alias("message"))
-        s = self.tables(repo_id)["symbols"].join(pre["symbols"].select(F.col("symbol").alias("stable_key")), "stable_key", "left_semi")
-        heavy = s.where("cyclomatic >= 10 or cognitive >= 15").select(F.when(F.col("cyclomatic") >= 20, "high").otherwise("medium").alias("severity"), F.lit(0.8).alias("confidence"), F.lit("changed-symbol-complexity").alias("code"), "file_path", F.col("start_line").alias("line"), F.col("qualified_name").alias("message"))
-        found = wide.unionByName(heavy)
-        added = [(r["file_path"], k, x) for r in git.parse_diff(diff or "") for k, x in enumerate(r["added"], r["start_line"] or 1)]
+        symbols = self.tables(repo_id)["symbols"]
+        touched = pre["symbols"].select(F.col("symbol").alias("stable_key")).distinct()
+        s = cut(symbols.join(touched, "stable_key", "left_semi"))
+        files = pre["ranges"].select("file_path").distinct()
+        found = [*self._reach_findings(pre, symbols, s, files), *self._symbol_findings(repo_id, s), self._decision_findings(pre, s)]
+        parsed = git.parse_diff(diff or "")
+        added = [(r["file_path"], k, x) for r in parsed for k, x in enumerate(r["added"], r["start_line"] or 1)]
         lines = self.spark.createDataFrame(added, "file_path string, line int, text string")
-        silent = lines.where(F.col("text").rlike(r"catch\s*(\([^)]*\))?\s*\{\s*\}|except[^:]*:\s*pass")).select(F.lit("high").alias("severity"), F.lit(0.9).alias("confidence"), F.lit("silent-error-handling").alias("code"), "file_path", "line", F.trim("text").alias("message"))
-        found = found.unionByName(silent)
+        found += self._line_findings(lines)
         if rules:
-            found = found.unionByName(review.literal_rules(lines, list(rules)))
-        found = review.dedupe(found)
+            found.append(review.literal_rules(lines, list(rules)))
+        every = cut(found[0])
+        for part in found[1:]:
+            every = every.unionByName(cut(part))
+        found = review.dedupe(every)
         return found, review.verdict(found)
 
+    @staticmethod
+    def _finding(rows: DataFrame, severity, confidence, code: str, line, message) -> DataFrame:
+        sev = F.lit(severity) if isinstance(severity, str) else severity
+        sure = F.lit(confidence) if isinstance(confidence, float) else confidence
+        return rows.select(sev.alias("severity"), sure.cast("double").alias("confidence"), F.lit(code).alias("code"), "file_path", line.cast("int").alias("line"), message.alias("message"))
+
+    def _reach_findings(self, pre: dict, symbols: DataFrame, s: DataFrame, files: DataFrame) -> list[DataFrame]:
+        """Symbols and files beyond the change that depend on it; exports, heritage and endpoints in its files."""
+        beyond = pre["impact"].join(symbols.select(F.col("stable_key").alias("node"), "file_path"), "node").join(files, "file_path", "left_anti")
+        wide = beyond.agg(F.count_distinct("node").alias("n"), F.count_distinct("file_path").alias("m")).where(F.col("m") >= review.THRESHOLDS["cross_module_files"])
+        first = s.orderBy("file_path", "start_line", "stable_key").limit(1).select("file_path", "start_line")
+        message = F.concat_ws(" ", F.col("n").cast("string"), F.lit("upstream symbols in"), F.col("m").cast("string"), F.lit("other files depend on the change"))
+        reach = self._finding(first.crossJoin(wide), F.when(F.col("m") >= 5, "error").otherwise("warning"), 0.92, "cross-module-blast-radius", F.col("start_line"), message)  # one row each
+        open_ = s.where("exported").join(files, "file_path", "left_semi").groupBy("file_path").agg(F.min("start_line").alias("start_line"), F.count("*").alias("n"))
+        return [reach, self._finding(open_, "warning", 0.82, "cross-module-contract-surface", F.col("start_line"), F.concat(F.col("n").cast("string"), F.lit(" exported symbols change")))]
+
+    def _symbol_findings(self, repo_id: str | None, s: DataFrame) -> list[DataFrame]:
+        """Complex symbols, complex ones that change often, and symbols that nothing uses."""
+        t = review.THRESHOLDS
+        heavy = s.where((F.col("cyclomatic") >= t["cyclomatic"]) | (F.col("cognitive") >= t["cognitive"]))
+        severe = (F.col("cyclomatic") >= 1.5 * t["cyclomatic"]) | (F.col("cognitive") >= 1.5 * t["cognitive"])
+        line, name = F.col("start_line"), F.col("qualified_name")
+        found = [self._finding(heavy, F.when(severe, "error").otherwise("warning"), 0.8, "changed-symbol-complexity", line, name)]
+        repo, _ = self.repository(repo_id)
+        churned = history.churn(self._changes(repo).select("stable_key", "change_type", "reference_time"), "stable_key", "change_type", "reference_time")
+        score = (F.col("cyclomatic") + F.col("cognitive")) * F.log2(F.lit(2.0) + F.col("weighted_churn"))
+        hot = s.join(churned, "stable_key").where(score >= t["hotspot_score"])
+        found.append(self._finding(hot, "warning", 0.8, "high-churn-complex-symbol", line, name))
+        unused = s.join(self.dead_symbols(repo_id).select("stable_key"), "stable_key", "left_semi")
+        return [*found, self._finding(unused, "warning", 0.7, "changed-dead-code-candidate", line, name)]
+
+    def _decision_findings(self, pre: dict, s: DataFrame) -> DataFrame:
+        governed = pre["decisions"].join(s.select(F.col("stable_key").alias("symbol"), "file_path", "start_line"), "symbol")
+        return self._finding(governed, "info", 1.0, "governing-contract-review", F.col("start_line"), F.col("title"))
+
+    def _line_findings(self, lines: DataFrame) -> list[DataFrame]:
+        """Handlers that swallow errors and returns that override them."""
+        silent = lines.where(F.col("text").rlike(r"catch\s*(\([^)]*\))?\s*\{\s*\}|except[^:]*:\s*pass"))
+        over = lines.where(F.col("text").rlike(r"finally\s*\{.*\breturn\b"))
+        found = self._finding(silent, "warning", 0.82, "silent-error-handling", F.col("line"), F.trim("text"))
+        return [found, self._finding(over, "error", 0.9, "finally-control-flow-override", F.col("line"), F.trim("text"))]
+
     # history ----------------------------------------------------------------------------------
 
     def _changes(self, repo_id: str) -> DataFrame:
@@ -420,10 +480,19 @@ class Engine:
         return memory.plan_merge(self.overlay_symbols(source_name, repo_id), self.overlay_symbols(target_name, repo_id), ["signature", "body"])
 
     def apply_worktree_merge(self, source_name: str, target_name: str, repo_id: str | None = None, expected_revision: int | None = None) -> DataFrame:
+        """The target's symbols after its next revision, to which what the source changed is written; the source stays as it is."""
         o = self._overlay(target_name, repo_id)
-        merged = memory.apply_merge(self.plan_worktree_merge(source_name, target_name, repo_id), self.overlay_symbols(target_name, repo_id), o["revision"] if expected_revision is None else expected_revision, o["revision"])
-        self.set_worktree_status(source_name, "merged", repo_id)
-        return merged
+        if o["status"] != "open":
+            raise ValueError(f"{target_name} is {o['status']}")
+        plan = cut(self.plan_worktree_merge(source_name, target_name, repo_id))
+        memory.check_merge(plan, o["revision"] if expected_revision is None else expected_revision, o["revision"])
+        sides = [self.overlay_symbols(n, repo_id).select("stable_key", "change_type", "base_fingerprint", "base_signature", "base_body") for n in (source_name, target_name)]
+        taken = plan.where("action = 'take_source'").join(sides[0], "stable_key").unionByName(plan.where("action = 'merge'").join(sides[1], "stable_key"))
+        rows = taken.withColumns({"repo_id": F.lit(o["repo_id"]), "name": F.lit(target_name), "revision": F.lit(o["revision"] + 1).cast("long")})
+        names = [c.split()[0] for c in LOGS["overlay_symbols"].split(", ")]
+        rows.select(*names).write.mode("append").parquet(f"{self.home}/overlay_symbols")
+        self.append("overlays", o | {"revision": o["revision"] + 1, "at": self.now()})
+        return self.overlay_symbols(target_name, repo_id)
 
     # services ---------------------------------------------------------------------------------
 
@@ -488,12 +557,16 @@ class Engine:
         return history.hotspots(self.tables(repo)["symbols"].select("stable_key", "cyclomatic", "cognitive"), churned, "stable_key", clamp(limit, 50, 1, 500))
 
     def find_dead_code(self, repo_id: str | None = None, limit: int | None = None) -> DataFrame:
+        return self.dead_symbols(repo_id).orderBy("file_path", "start_line", "stable_key").limit(clamp(limit, 100, 1, 1000))
+
+    def dead_symbols(self, repo_id: str | None = None) -> DataFrame:
+        """All symbols that nothing uses and no rule excuses."""
         t = self.tables(repo_id)
         open_calls = t["calls"].where("status != 'resolved'").groupBy(F.col("callee").alias("name")).agg(F.sum("occurrences").alias("unresolved_calls"))
         words = t["files"].where(F.col("content").rlike(r"getattr|\[['\"]|Reflect|eval|import_module")).select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"['\"]([A-Za-z_]\w*)['\"]"), F.lit(1)))).alias("name")).distinct().withColumn("reflected", F.lit(True))
         s = t["symbols"].join(open_calls, "name", "left").join(words, "name", "left")
         used = t["edges"].where("kind = 'calls' and source != target").select(F.col("target").alias("stable_key"))
-        return quality.dead_code(s, used, quality.code_rules()).where("excluded_by is null").select("stable_key", "file_path", "start_line", "kind").orderBy("file_path", "start_line", "stable_key").limit(clamp(limit, 100, 1, 1000))
+        return quality.dead_code(s, used, quality.code_rules()).where("excluded_by is null").select("stable_key", "file_path", "start_line", "kind")
 
     def find_bridge_symbols(self, repo_id: str | None = None, minimum_degree: int = 2, limit: int | None = None) -> DataFrame:
         e = cut(self.symbol_edges(repo_id).select("source", "target").distinct())
@@ -519,24 +592,27 @@ class Engine:
         self.append("processes", row.asDict() | {"active": False, "at": self.now()})
 
     def list_processes(self, repo_id: str | None = None, active: bool | None = None, source: str | None = None, limit: int | None = None) -> DataFrame:
+        return self._processes(repo_id, active, source).orderBy("process_key").limit(clamp(limit, 100, 1, 1000))
+
+    def _processes(self, repo_id: str | None = None, active: bool | None = None, source: str | None = None) -> DataFrame:
         repo, _ = self.repository(repo_id)
         p = self.latest("processes", "repo_id", "process_key").where(F.col("repo_id") == repo)
         p = p if active is None else p.where(F.col("active") == active)
         p = p.where(F.col("source") == source) if source else p
-        return p.withColumn("n_steps", F.size("steps")).orderBy("process_key").limit(clamp(limit, 100, 1, 1000))
+        return p.withColumn("n_steps", F.size("steps"))
 
     def get_process_flow(self, process_key: str, repo_id: str | None = None) -> DataFrame:
-        return self.list_processes(repo_id, limit=1000).where(F.col("process_key") == process_key)
+        return self._processes(repo_id).where(F.col("process_key") == process_key)
 
     def get_process_membership(self, symbol_stable_key: str, repo_id: str | None = None) -> DataFrame:
-        return self.list_processes(repo_id, limit=1000).where(F.array_contains("steps", symbol_stable_key))
+        return self._processes(repo_id).where(F.array_contains("steps", symbol_stable_key))
 
     def refresh_processes(self, repo_id: str | None = None, max_processes: int = 200) -> DataFrame:
         repo, _ = self.repository(repo_id)
         flows = self.get_execution_flows(repo, max_results=max_processes)
         complete = flows.count() < max_processes
         found = flows.select(F.concat(F.lit("flow:"), F.substring(F.sha2(F.concat_ws("|", "path"), 256), 1, 16)).alias("process_key"), F.col("path").alias("steps"), F.sha2(F.concat_ws("|", "path"), 256).alias("fingerprint"))
-        known = self.list_processes(repo, source="inferred", limit=1000)
+        known = self._processes(repo, source="inferred")
         change = cut(processes.refresh(known, found, complete))
         rows = change.join(found, "process_key", "left").join(known.select("process_key", F.col("steps").alias("s0"), F.col("fingerprint").alias("f0")), "process_key", "left").where("change in ('added', 'modified', 'reactivated', 'retired')")
         rows.select(F.lit(repo).alias("repo_id"), "process_key", F.col("process_key").alias("name"), F.lit("inferred").alias("source"), F.coalesce("steps", "s0").alias("steps"), F.coalesce("fingerprint", "f0").alias("fingerprint"), (F.col("change") != "retired").alias("active"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.home}/processes")
@@ -549,7 +625,7 @@ class Engine:
 
     def get_codebase_briefing(self, repo_id: str | None = None) -> DataFrame:
         repo, _ = self.repository(repo_id)
-        return processes.briefing(self.spark, processes=self.list_processes(repo), decisions=self.decisions().where(F.col("repo_id") == repo), hotspots=self.find_hotspots(repo), entry_points=self.get_architecture(repo)["entry_points"])
+        return processes.briefing(self.spark, processes=self._processes(repo), decisions=self.decisions().where(F.col("repo_id") == repo), hotspots=self.find_hotspots(repo), entry_points=self.get_architecture(repo)["entry_points"])
 
     def get_daily_briefing(self, repo_id: str | None = None, hours: int = 24) -> DataFrame:
         repo, _ = self.repository(repo_id)

@@ -15,26 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _edges(items: DataFrame) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    steps = items.select(F.col("l_suppkey").alias("target"), F.lag("l_suppkey").over(order).alias("source")).where("source is not null and source != target")
-    return steps.groupBy("source", "target").agg(F.count("*").alias("n")).select("source", "target", F.round(F.least(F.lit(0.99), 0.5 + 0.1 * F.col("n")), 2).alias("confidence"))
-
-
-def all_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, confidence) over suppliers, of every line item."""
-    return _edges(table(spark, sf_dir, "lineitem"))
-
-
 def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of EDGES_SQL: of items returned and shipped before 1996 only, as that SQL states."""
-    return _edges(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_shipdate < timestamp '1996-01-01'"))
+    """(source, target, confidence) over suppliers, of every line item."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    before = F.lag("l_suppkey").over(order).alias("source")
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), before).where("source is not null and source != target")
+    confidence = F.round(F.least(F.lit(0.99), 0.5 + 0.1 * F.col("n")), 2).alias("confidence")
+    return steps.groupBy("source", "target").agg(F.count("*").alias("n")).select("source", "target", confidence)
 
 
 #: The edges of supplier_edges for DuckDB.
 EDGES_SQL = """steps AS (SELECT l_suppkey AS target, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS source
-  FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < TIMESTAMP '1996-01-01'),
-edges AS (SELECT source, target, round(least(0.99, 0.5 + 0.1 * count(*)), 2) AS confidence FROM steps
+  FROM lineitem),
+edges AS MATERIALIZED (SELECT source, target, round(least(0.99, 0.5 + 0.1 * count(*)), 2) AS confidence FROM steps
   WHERE source IS NOT NULL AND source <> target GROUP BY source, target)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_api_path
 from ..operators import graph, quality, review, services
-from .common import EDGES_SQL, all_supplier_edges, supplier_edges, table
+from .common import EDGES_SQL, supplier_edges, table
 
 Q, O = {}, {}
 
@@ -41,10 +41,13 @@ def impact_risk_many(spark, d):
 
 
 @q(f"""WITH RECURSIVE {EDGES_SQL},
-p(node, depth, path, steps, product) AS (SELECT CAST(1 AS BIGINT), 0, [CAST(1 AS BIGINT)], [1.0::DOUBLE], 1.0::DOUBLE
-  UNION ALL SELECT e.target, p.depth + 1, list_append(p.path, e.target), list_append(p.steps, e.confidence), p.product * e.confidence FROM p JOIN edges e ON e.source = p.node WHERE p.depth < 6 AND NOT list_contains(p.path, e.target)),
-b AS (SELECT * FROM p WHERE node = 50 AND depth = (SELECT min(depth) FROM p WHERE node = 50) ORDER BY product DESC, path LIMIT 1)
-SELECT CAST(i - 1 AS INTEGER) AS ordinal, path[i] AS node, steps[i] AS confidence, product FROM b, (SELECT unnest(generate_series(1, 10)) AS i) WHERE i <= len(path)""")
+d(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.target, d.depth + 1 FROM d JOIN edges e ON e.source = d.node WHERE d.depth < 10),
+near AS (SELECT node, min(depth) AS depth FROM d GROUP BY 1),
+onward AS (SELECT e.* FROM edges e JOIN near a ON a.node = e.source JOIN near b ON b.node = e.target WHERE b.depth = a.depth + 1 AND b.depth <= (SELECT depth FROM near WHERE node = 50)),
+p(node, path, steps, product) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], [1.0::DOUBLE], 1.0::DOUBLE
+  UNION ALL SELECT e.target, list_append(p.path, e.target), list_append(p.steps, e.confidence), p.product * e.confidence FROM p JOIN onward e ON e.source = p.node),
+b AS (SELECT * FROM p WHERE node = 50 ORDER BY product DESC, path LIMIT 1)
+SELECT CAST(i - 1 AS INTEGER) AS ordinal, path[i] AS node, steps[i] AS confidence, product FROM b, (SELECT unnest(generate_series(1, 11)) AS i) WHERE i <= len(path)""")
 def dependency_path(spark, d):
     return graph.dependency_path(supplier_edges(spark, d), 1, 50, 10)
 
@@ -75,40 +78,46 @@ def personalised_pagerank(spark, d):
     return graph.pagerank(nodes, supplier_edges(spark, d)).select("node", F.round("rank", 7).alias("rank"))
 
 
-@q("""WITH RECURSIVE p AS (SELECT l_orderkey % 4000 AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.02),
-l AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
-c(node, component) AS (SELECT x, x FROM l UNION SELECT c.node, l.y FROM c JOIN l ON l.x = c.component)
-SELECT node, min(component) AS component FROM c GROUP BY node""")
+def _labels_sql(rounds: int = 12) -> str:
+    """Smallest labels of neighbours, passed on for as many rounds as the graph is wide."""
+    out = ["WITH p AS (SELECT DISTINCT l_orderkey % 4000 AS a, 100000 + l_partkey AS b FROM lineitem)", "l AS MATERIALIZED (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p)"]
+    out.append("c0 AS MATERIALIZED (SELECT x AS node, min(least(x, y)) AS component FROM l GROUP BY 1)")
+    for k in range(rounds):
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT l.x AS node, least(any_value(o.component), min(c.component)) AS component FROM l JOIN c{k} c ON c.node = l.y JOIN c{k} o ON o.node = l.x GROUP BY 1)")
+    return ",\n".join(out) + f"\nSELECT node, component FROM c{rounds}"
+
+
+@q(_labels_sql())
 def rename_components(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_quantity > 49 and l_discount < 0.02").select((F.col("l_orderkey") % 4000).alias("a"), (F.col("l_partkey") + 100000).alias("b"))
+    pairs = table(spark, d, "lineitem").select((F.col("l_orderkey") % 4000).alias("a"), (F.col("l_partkey") + 100000).alias("b"))
     return graph.components(pairs)
 
 
-@q(f"""WITH RECURSIVE {EDGES_SQL}, t AS (SELECT source, target FROM edges WHERE source < 40 AND target < 40 AND (source + target) % 3 = 0),
-u AS (SELECT source AS a, target AS b FROM t UNION SELECT target, source FROM t),
-n AS (SELECT DISTINCT a FROM u),
-c0(node, c) AS (SELECT a, a FROM n UNION SELECT c0.node, u.b FROM c0 JOIN u ON u.a = c0.c),
-k0 AS (SELECT node, min(c) AS c FROM c0 GROUP BY 1),
-r(cut, node, c) AS (SELECT n.a, m.a, m.a FROM n, n m WHERE n.a <> m.a UNION SELECT r.cut, r.node, u.b FROM r JOIN u ON u.a = r.c WHERE u.b <> r.cut),
-k1 AS (SELECT cut, node, min(c) AS c FROM r GROUP BY 1, 2)
-SELECT n.a AS node FROM n WHERE (SELECT count(DISTINCT k1.c) FROM k1 JOIN k0 x ON x.node = k1.node JOIN k0 y ON y.node = n.a WHERE k1.cut = n.a AND x.c = y.c) > 1""")
+#: A node cuts where one of its neighbours can't be reached from another without it.
+_CUTS = f"""WITH RECURSIVE {EDGES_SQL}, u AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+r(cut, node) AS (SELECT a, min(b) FROM u GROUP BY 1 UNION SELECT r.cut, u.b FROM r JOIN u ON u.a = r.node WHERE u.b <> r.cut),
+cuts AS (SELECT DISTINCT u.a AS node FROM u LEFT JOIN r ON r.cut = u.a AND r.node = u.b WHERE r.node IS NULL)"""
+
+
+def _cuts(edges):
+    labels = graph.components(edges, "source", "target").withColumnRenamed("node", "source")
+    return graph.articulation(edges.join(labels, "source"))
+
+
+@q(f"{_CUTS} SELECT node FROM cuts")
 def articulation_points(spark, d):
-    e = supplier_edges(spark, d).where("source < 40 and target < 40 and (source + target) % 3 = 0").select("source", "target")
-    labels = graph.components(e, "source", "target").withColumnRenamed("node", "source")
-    return graph.articulation(e.join(labels, "source")).select("node")
+    return _cuts(supplier_edges(spark, d).select("source", "target")).select("node")
 
 
-@q()
+@q(f"{_CUTS} SELECT node, count(DISTINCT b) AS neighbours, round(log2(1.0 + count(DISTINCT b)), 6) AS score FROM cuts JOIN u ON u.a = node GROUP BY 1 HAVING count(DISTINCT b) >= 2")
 def bridge_symbols(spark, d):
-    e = all_supplier_edges(spark, d).select("source", "target")
-    labels = graph.components(e, "source", "target").withColumnRenamed("node", "source")
-    return quality.bridges(e, graph.articulation(e.join(labels, "source")))
+    e = supplier_edges(spark, d).select("source", "target")
+    return quality.bridges(e, _cuts(e)).withColumn("score", F.round("score", 6))
 
 
 @q()
 def file_communities(spark, d):
-    e = all_supplier_edges(spark, d).where("confidence > 0.5").select(F.lit("repo").alias("repo_id"), "source", "target", F.col("confidence").alias("weight"))
-    return graph.communities(e)
+    return graph.communities(supplier_edges(spark, d).select(F.lit("repo").alias("repo_id"), "source", "target", F.col("confidence").alias("weight")))
 
 
 @q(f"""WITH {EDGES_SQL}, s AS (SELECT s_suppkey AS node, s_acctbal / 10000.0 AS score FROM supplier)
@@ -134,12 +143,12 @@ def api_paths(spark, d):
 
 
 @q(f"""WITH r AS (SELECT {_normal_sql('url')} AS p, CASE WHEN page_id % 3 = 0 THEN 'ANY' WHEN page_id % 3 = 1 THEN 'GET' ELSE 'POST' END AS m FROM pages),
-c AS (SELECT {_normal_sql('url')} AS p, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS m FROM pages WHERE page_id < 60)
+c AS (SELECT {_normal_sql('url')} AS p, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS m FROM pages)
 SELECT c.p AS path, count(*) AS links FROM c JOIN r ON r.p = c.p AND (r.m = c.m OR r.m = 'ANY' OR c.m = 'ANY') GROUP BY 1""")
 def api_topology(spark, d):
     pages = table(spark, d, "pages")
     routes = pages.select(F.col("page_id").alias("route"), F.col("url").alias("path"), F.expr("elt(page_id % 3 + 1, 'any', 'get', 'POST')").alias("method"), F.lit(0.95).alias("confidence"))
-    clients = pages.where("page_id < 60").select(F.col("page_id").alias("client"), F.col("url").alias("path"), F.expr("elt(page_id % 2 + 1, 'GET', 'post')").alias("method"), F.lit(0.99).alias("confidence"))
+    clients = pages.select(F.col("page_id").alias("client"), F.col("url").alias("path"), F.expr("elt(page_id % 2 + 1, 'GET', 'post')").alias("method"), F.lit(0.99).alias("confidence"))
     return services.api_links(routes, clients).groupBy("path").agg(F.count("*").alias("links"))
 
 

@@ -47,18 +47,18 @@ def temporal_changes_since(spark, d):
     return got.withColumn("changes", F.transform("changes", lambda x: F.concat_ws(":", x["stable_key"].cast("string"), x["change_type"])))
 
 
-@q(f"""WITH RECURSIVE {CHANGES_SQL}, l AS (SELECT stable_key AS a, previous_stable_key AS b FROM changes WHERE previous_stable_key IS NOT NULL AND value > 60 UNION SELECT previous_stable_key, stable_key FROM changes WHERE previous_stable_key IS NOT NULL AND value > 60),
+@q(f"""WITH RECURSIVE {CHANGES_SQL}, l AS (SELECT stable_key AS a, previous_stable_key AS b FROM changes WHERE previous_stable_key IS NOT NULL UNION SELECT previous_stable_key, stable_key FROM changes WHERE previous_stable_key IS NOT NULL),
 k(key) AS (SELECT CAST(5 AS BIGINT) UNION SELECT l.b FROM k JOIN l ON l.a = k.key)
 SELECT key AS stable_key FROM k""")
 def symbol_lineage(spark, d):
-    return temporal.lineage(event_changes(spark, d).where("value > 60"), 5)
+    return temporal.lineage(event_changes(spark, d), 5)
 
 
-@q(f"""WITH RECURSIVE {CHANGES_SQL}, c AS (SELECT * FROM changes WHERE value > 60), l AS (SELECT stable_key AS a, previous_stable_key AS b FROM c WHERE previous_stable_key IS NOT NULL UNION SELECT previous_stable_key, stable_key FROM c WHERE previous_stable_key IS NOT NULL),
+@q(f"""WITH RECURSIVE {CHANGES_SQL}, c AS (SELECT * FROM changes), l AS (SELECT stable_key AS a, previous_stable_key AS b FROM c WHERE previous_stable_key IS NOT NULL UNION SELECT previous_stable_key, stable_key FROM c WHERE previous_stable_key IS NOT NULL),
 k(key) AS (SELECT CAST(5 AS BIGINT) UNION SELECT l.b FROM k JOIN l ON l.a = k.key)
 SELECT sequence, stable_key, change_type FROM c WHERE stable_key IN (SELECT key FROM k) AND reference_time >= TIMESTAMP '2024-01-05' ORDER BY sequence, stable_key LIMIT 100""")
 def temporal_timeline(spark, d):
-    return temporal.timeline(event_changes(spark, d).where("value > 60"), 5, start="2024-01-05 00:00:00").select("sequence", "stable_key", "change_type")
+    return temporal.timeline(event_changes(spark, d), 5, start="2024-01-05 00:00:00").select("sequence", "stable_key", "change_type")
 
 
 @q(f"""WITH {CHANGES_SQL} SELECT CAST(reference_time AS DATE) AS day, CAST(sum(CASE WHEN change_type = 'added' THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN change_type = 'modified' THEN 1 ELSE 0 END) AS BIGINT) AS modified,
@@ -97,25 +97,29 @@ def find_hotspots(spark, d):
     return history.hotspots(cx, _churn(spark, d), "item").select("item", F.round("score", 5).alias("score"))
 
 
-@q("""WITH p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en'),
+@q("""WITH p AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
 tf AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM p GROUP BY 1, 2), dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
 qt AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 SELECT query, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM qt JOIN tf ON tf.term = qt.term JOIN df ON df.term = tf.term JOIN dl ON dl.id = tf.id, c GROUP BY 1, 2""")
 def bm25_scores(spark, d):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
-    post = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.explode(words("text")).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("tf"))
+    post = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(words("text")).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("tf"))
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(words("text")).alias("term"))
     return search.bm25(post, terms).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@q("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en'), qt AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS query_token FROM benchmark WHERE item_id < 3),
-g AS (SELECT token, list_distinct(list_transform(generate_series(1, length(token)), lambda i: substr('^' || token || '$', i, 3))) AS gs FROM t WHERE length(token) >= 4),
-h AS (SELECT query_token, list_distinct(list_transform(generate_series(1, length(query_token)), lambda i: substr('^' || query_token || '$', i, 3))) AS gs FROM qt WHERE length(query_token) >= 4)
-SELECT query_token, token, round(2.0 * len(list_intersect(g.gs, h.gs)) / (len(g.gs) + len(h.gs)), 6) AS similarity FROM g, h WHERE token <> query_token AND abs(length(token) - length(query_token)) <= 2 AND 2.0 * len(list_intersect(g.gs, h.gs)) / (len(g.gs) + len(h.gs)) >= 0.55""")
+_GRAMS = "list_distinct(list_transform(generate_series(1, length({0})), lambda i: substr('^' || {0} || '$', i, 3)))"
+
+
+@q(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), qt AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS query_token FROM benchmark),
+g AS MATERIALIZED (SELECT token, {_GRAMS.format("token")} AS gs FROM t WHERE length(token) >= 4), h AS MATERIALIZED (SELECT query_token, {_GRAMS.format("query_token")} AS gs FROM qt WHERE length(query_token) >= 4),
+m AS (SELECT query_token, token, count(*) AS c, any_value(n) AS n, any_value(k) AS k FROM (SELECT token, len(gs) AS n, unnest(gs) AS gram FROM g) x JOIN (SELECT query_token, len(gs) AS k, unnest(gs) AS gram FROM h) y ON x.gram = y.gram
+  WHERE token <> query_token AND abs(length(token) - length(query_token)) <= 2 GROUP BY 1, 2)
+SELECT query_token, token, round(2.0 * c / (n + k), 6) AS similarity FROM m WHERE 2.0 * c / (n + k) >= 0.55""")
 def fuzzy_identifiers(spark, d):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))
-    t = table(spark, d, "documents").where("lang = 'en'").select(F.explode(words("text")).alias("token"))
-    b = table(spark, d, "benchmark").where("item_id < 3").select(F.explode(words("text")).alias("token"))
+    t = table(spark, d, "documents").select(F.explode(words("text")).alias("token"))
+    b = table(spark, d, "benchmark").select(F.explode(words("text")).alias("token"))
     return search.fuzzy_tokens(t, b).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -235,11 +239,11 @@ def codebase_briefing(spark, d):
 
 
 def _intents(spark, d):
-    e = table(spark, d, "events").where("event_id < 400")
+    e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("intent"), F.col("user_id").alias("agent"), F.when(F.col("event_type") == "error", "delete").otherwise("modify").alias("kind"), F.array(F.col("event_id") % 90, F.col("user_id") % 40).alias("targets"), "ts")
 
 
-_INTENTS = """t AS (SELECT DISTINCT event_id AS intent, user_id AS agent, event_type = 'error' AS del, unnest([event_id % 90, user_id % 40]) AS target FROM events WHERE event_id < 400),
+_INTENTS = """t AS (SELECT DISTINCT event_id AS intent, user_id AS agent, event_type = 'error' AS del, unnest([event_id % 90, user_id % 40]) AS target FROM events),
 c AS (SELECT a.intent, count(b.intent) AS others, coalesce(bool_or((a.del OR b.del) AND b.intent IS NOT NULL), false) AS c FROM t a LEFT JOIN t b ON a.target = b.target AND a.agent <> b.agent GROUP BY 1)"""
 
 
@@ -254,9 +258,9 @@ def fleet_active(spark, d):
     return fleet.active(e, "2024-01-10 00:00:00", 3600).select("intent")
 
 
-@q("""SELECT event_id AS request, user_id AS target, event_id = first_value(event_id) OVER w AS granted, nullif(first_value(event_id) OVER w, event_id) AS blocker FROM events WHERE event_id < 2000 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@q("""SELECT event_id AS request, user_id AS target, event_id = first_value(event_id) OVER w AS granted, nullif(first_value(event_id) OVER w, event_id) AS blocker FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def fleet_leases(spark, d):
-    e = table(spark, d, "events").where("event_id < 2000").select(F.col("event_id").alias("request"), F.col("user_id").alias("target"), F.col("ts").alias("at"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("request"), F.col("user_id").alias("target"), F.col("ts").alias("at"))
     return fleet.leases(e)
 
 
@@ -278,11 +282,11 @@ def style_fingerprint(spark, d):
 
 
 def _findings(spark, d):
-    sev = F.expr("elt(cast(o_orderkey % 5 as int) + 1, 'critical', 'high', 'medium', 'low', 'info')")
-    return table(spark, d, "orders").where("o_orderkey < 600").select(sev.alias("severity"), F.round(F.col("o_totalprice") / 1e6, 4).alias("confidence"), (F.col("o_orderkey") % 7).cast("string").alias("code"), (F.col("o_custkey") % 30).cast("string").alias("file_path"), (F.col("o_orderkey") % 3).cast("int").alias("line"), F.col("o_orderpriority").alias("message"))
+    sev = F.expr("elt(cast(o_orderkey % 4 as int) + 1, 'critical', 'error', 'warning', 'info')")
+    return table(spark, d, "orders").select(sev.alias("severity"), F.round(F.col("o_totalprice") / 1e6, 4).alias("confidence"), (F.col("o_orderkey") % 7).cast("string").alias("code"), (F.col("o_custkey") % 30).cast("string").alias("file_path"), (F.col("o_orderkey") % 3).cast("int").alias("line"), F.col("o_orderpriority").alias("message"))
 
 
-_FINDINGS = """f AS (SELECT ['critical','high','medium','low','info'][o_orderkey % 5 + 1] AS severity, o_orderkey % 5 AS s, round(o_totalprice / 1e6, 4) AS confidence, CAST(o_orderkey % 7 AS VARCHAR) AS code, CAST(o_custkey % 30 AS VARCHAR) AS file_path, CAST(o_orderkey % 3 AS INTEGER) AS line, o_orderpriority AS message FROM orders WHERE o_orderkey < 600),
+_FINDINGS = """f AS (SELECT ['critical','error','warning','info'][o_orderkey % 4 + 1] AS severity, o_orderkey % 4 AS s, round(o_totalprice / 1e6, 4) AS confidence, CAST(o_orderkey % 7 AS VARCHAR) AS code, CAST(o_custkey % 30 AS VARCHAR) AS file_path, CAST(o_orderkey % 3 AS INTEGER) AS line, o_orderpriority AS message FROM orders),
 b AS (SELECT *, row_number() OVER (PARTITION BY code, file_path, line ORDER BY s, confidence DESC, message) AS r FROM f)"""
 
 
@@ -297,17 +301,17 @@ def review_verdict(spark, d):
 
 
 @q("""WITH l AS (SELECT doc_id AS file_path, unnest(string_split(text, chr(10))) AS text, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line FROM documents)
-SELECT 'high' AS severity, 1.0::DOUBLE AS confidence, 'local-rule:r1' AS code, file_path, line, 'no idiots' AS message FROM l WHERE contains(text, 'idiot') UNION ALL SELECT 'medium', 1.0, 'local-rule:r2', file_path, line, 'LICENSED' FROM l WHERE contains(lower(text), 'licensed')""")
+SELECT 'error' AS severity, 1.0::DOUBLE AS confidence, 'local-rule:r1' AS code, file_path, line, 'no idiots' AS message FROM l WHERE contains(text, 'idiot') UNION ALL SELECT 'warning', 1.0, 'local-rule:r2', file_path, line, 'LICENSED' FROM l WHERE contains(lower(text), 'licensed')""")
 def literal_rules(spark, d):
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return review.literal_rules(lines, [{"id": "r1", "contains": "idiot", "severity": "high", "message": "no idiots"}, {"id": "r2", "contains": "LICENSED", "case_sensitive": False}])
+    return review.literal_rules(lines, [{"id": "r1", "contains": "idiot", "severity": "error", "message": "no idiots"}, {"id": "r2", "contains": "LICENSED", "case_sensitive": False}])
 
 
-@q("""WITH r AS (SELECT user_id AS file_path, CAST(event_id % 400 AS BIGINT) AS a, CAST(event_id % 400 + 5 AS BIGINT) AS z FROM events WHERE event_id < 600), s AS (SELECT p_partkey % 150 AS file_path, p_partkey AS symbol, CAST(p_size * 7 AS BIGINT) AS a, CAST(p_size * 7 + p_size AS BIGINT) AS z FROM part),
+@q("""WITH r AS (SELECT user_id AS file_path, CAST(event_id % 400 AS BIGINT) AS a, CAST(event_id % 400 + 5 AS BIGINT) AS z FROM events), s AS (SELECT p_partkey % 150 AS file_path, p_partkey AS symbol, CAST(p_size * 7 AS BIGINT) AS a, CAST(p_size * 7 + p_size AS BIGINT) AS z FROM part),
 h AS (SELECT DISTINCT r.file_path, r.a AS ra, r.z AS rz, s.symbol, s.a, s.z FROM r JOIN s ON s.file_path = r.file_path AND s.a <= r.z AND s.z >= r.a)
 SELECT file_path, ra AS start_line, rz AS end_line, symbol FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.file_path = x.file_path AND y.ra = x.ra AND y.rz = x.rz AND y.a >= x.a AND y.z <= x.z AND y.z - y.a < x.z - x.a)""")
 def changed_symbols(spark, d):
-    r = table(spark, d, "events").where("event_id < 600").select(F.col("user_id").alias("file_path"), (F.col("event_id") % 400).alias("start_line"), (F.col("event_id") % 400 + 5).alias("end_line")).distinct()
+    r = table(spark, d, "events").select(F.col("user_id").alias("file_path"), (F.col("event_id") % 400).alias("start_line"), (F.col("event_id") % 400 + 5).alias("end_line")).distinct()
     p = F.col("p_size").cast("long")
     s = table(spark, d, "part").select((F.col("p_partkey") % 150).alias("file_path"), F.col("p_partkey").alias("symbol"), (p * 7).alias("start_line"), (p * 7 + p).alias("end_line"))
     return ranges.map_ranges(r, s)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blast_risk, like_contains
-from ..operators import history, ranges, ranking, usage
+from ..functions.text import blast_risk
+from ..operators import catalog, history, processes, ranges, ranking, usage
+from ..plans import link
 from .common import table
 
 Q, O = {}, {}
@@ -45,10 +45,8 @@ def cochange_pairs(spark, d):
 WHEN lower(p_name) LIKE 'ring%' THEN 2 ELSE 3 END AS match_rank FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_brand) LIKE '%ring%'
 ORDER BY match_rank, name, id LIMIT 20""")
 def find_symbol(spark, d):
-    p = table(spark, d, "part")
-    hit = p.where(like_contains("p_name", "ring") | like_contains("p_brand", "ring"))
-    rank = F.when(F.lower("p_brand") == "ring", 0).when(F.lower("p_name") == "ring", 1).when(F.lower("p_name").startswith("ring"), 2).otherwise(3)
-    return hit.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("qualified_name"), rank.alias("match_rank")).orderBy("match_rank", "name", "id").limit(20)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("qualified_name"))
+    return catalog.symbol_matches(p, "ring").orderBy("match_rank", "name", "id").limit(20)
 
 
 @q("""SELECT n.n_nationkey AS repo_id, n_name AS name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS files,
@@ -56,31 +54,30 @@ def find_symbol(spark, d):
 (SELECT count(*) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = n.n_nationkey) AS edges FROM nation n""")
 def list_repositories(spark, d):
     c, s, o, n = (table(spark, d, t) for t in ("customer", "supplier", "orders", "nation"))
-    files = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("files"))
-    symbols = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("symbols"))
-    edges = o.groupBy("o_custkey").agg(F.count("*").alias("n")).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("n").alias("edges"))
-    out = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).join(files, "k", "left").join(symbols, "k", "left").join(edges, "k", "left")
-    return out.select(F.col("k").alias("repo_id"), "name", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("files", "symbols", "edges")))
+    files = c.select(F.col("c_nationkey").alias("repo_id"), "c_custkey")
+    edges = o.join(files, F.col("o_custkey") == F.col("c_custkey"))
+    repositories = n.select(F.col("n_nationkey").alias("repo_id"), F.col("n_name").alias("name"))
+    return catalog.with_counts(repositories, files=files, symbols=s.withColumnRenamed("s_nationkey", "repo_id"), edges=edges)
 
 
 @q("""SELECT l_returnflag AS kind, l_linestatus AS status, count(*) AS symbols, count(DISTINCT l_partkey) AS files, sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS occurrences FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def repository_stats(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("tesselark_lineitem")
-    return spark.sql("""SELECT l_returnflag AS kind, l_linestatus AS status, count(*) AS symbols, count(DISTINCT l_partkey) AS files,
-        CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS occurrences
-        FROM tesselark_lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+    items = table(spark, d, "lineitem").withColumnsRenamed({"l_returnflag": "kind", "l_linestatus": "status"})
+    return catalog.symbol_stats(items, ["kind", "status"], "l_partkey", "l_quantity")
 
 
 @q("""SELECT l_linestatus AS parser_mode, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS resolved, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous,
 CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS unresolved, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS resolution_rate FROM lineitem GROUP BY 1""")
 def index_diagnostics(spark, d):
-    flag = lambda v: F.sum((F.col("l_returnflag") == v).cast("int")).cast("long")
-    return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("parser_mode")).agg(flag("R").alias("resolved"), flag("A").alias("ambiguous"), flag("N").alias("unresolved"), (flag("R") / F.count("*")).alias("resolution_rate"))
+    status = F.when(F.col("l_returnflag") == "R", "resolved").when(F.col("l_returnflag") == "A", "ambiguous").when(F.col("l_returnflag") == "N", "unresolved")
+    calls = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("parser_mode"), status.alias("status"))
+    return catalog.diagnostics(calls, "parser_mode").drop("calls")
 
 
 @q("""SELECT o_orderkey AS unresolved FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
 def unresolved_imports(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("unresolved"))
+    known = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unresolved"))
+    return catalog.unmatched(table(spark, d, "orders").select(F.col("o_orderkey").alias("unresolved")), known, "unresolved")
 
 
 @q("""SELECT count(*) AS calls, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(avg(value), 1) AS mean_ms,
@@ -182,34 +179,34 @@ def change_classification(spark, d):
     return state_diff(before, after)
 
 
-@q("""SELECT l_partkey AS target, min(l_suppkey) AS resolved FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1""")
+@q("""SELECT l_orderkey AS target, min(l_suppkey) AS resolved FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1""")
 def unique_target_guard(spark, d):
-    from ..plans.link import unique_target
-
-    return unique_target(table(spark, d, "lineitem").where("l_returnflag = 'A' and l_quantity > 45"), ["l_partkey"], "l_suppkey").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("resolved"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("resolved"))
+    return link.unique_target(items, ["target"], "resolved")
 
 
 @q("""SELECT n_regionkey AS project, list(n_name ORDER BY n_name <> 'CHINA', n_name) AS worktrees FROM nation GROUP BY 1""")
 def project_groups(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct((F.col("n_name") != "CHINA").alias("o"), "n_name")))
-    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("project")).agg(F.transform(rows, lambda x: x["n_name"]).alias("worktrees"))
+    nations = table(spark, d, "nation").withColumnRenamed("n_regionkey", "project")
+    return catalog.projects(nations, "project", "n_name", F.col("n_name") == "CHINA")
 
 
 @q("""WITH d AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS rn FROM documents) SELECT doc_id FROM d WHERE rn = 1""")
 def first_wins_distinct(spark, d):
-    rows = table(spark, d, "documents").select(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"), "doc_id")
-    return rows.groupBy("h", "s").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = table(spark, d, "documents").select(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"), "doc_id", (-F.col("n_chars")).alias("o"))
+    return ranking.first_wins(rows, ["h", "s"], ["o", "doc_id"]).select("doc_id")
 
 
-@q("""SELECT l_suppkey AS source, l_partkey AS target, round(max(l_discount), 4) AS confidence FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2""")
+@q("""SELECT l_suppkey AS source, l_partkey AS target, round(max(l_discount), 4) AS confidence FROM lineitem GROUP BY 1, 2""")
 def deduplicated_edges(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.round(F.max("l_discount"), 4).alias("confidence"))
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_discount").alias("confidence"))
+    return link.distinct_edges(items).withColumn("confidence", F.round("confidence", 4))
 
 
-@q("""SELECT o_orderkey, o_orderdate, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS ordinal FROM orders WHERE o_custkey < 50""")
+@q("""SELECT o_orderkey, o_orderdate, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS ordinal FROM orders""")
 def ordered_steps(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey", "o_orderdate", F.row_number().over(w).alias("ordinal"))
+    steps = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return processes.numbered(steps, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_custkey")
 
 
 @q("""SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size > 20) AS total_rows FROM part WHERE p_size > 20 ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")

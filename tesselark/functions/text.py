@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words without search meaning.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "can", "could", "did", "do", "does",
+    "for", "from", "had", "has", "have", "how", "if", "in", "into", "is", "it", "its", "of", "on", "or",
+    "that", "the", "their", "then", "there", "these", "this", "those", "to", "was", "were", "what", "when",
+    "where", "which", "while", "who", "why", "will", "with", "would",
+)
 
-TEST_PATH = r"(^|/)(tests?|__tests__|specs?)(/|$)|[._-](test|spec)\.[^/]+$|(^|/)test_[^/]+$"
-ENTRY_PATH = r"(^|/)(main|index|app|server|cli|__main__)\.[^/]+$"
+# Paths of tests, of tests in graphs (end-to-end ones too), and of entry points.
+TEST_PATH = r"(^|/)(test|tests|__tests__|spec|specs|fixture|fixtures)(/|$)|\.(test|spec)\.[^.]+$"
+GRAPH_TEST_PATH = r"(^|/)(__tests__|test|tests|e2e|fixtures?|specs?)(/|$)|\.(test|spec)\.[^.]+$"
+ENTRY_PATH = r"(^|/)(index|main|app|server|cli|entry|worker)\.[^.]+$|(^|/)bin/"
 
 
 def _c(x: Column | str) -> Column:
@@ -37,8 +44,8 @@ def normal_path(path) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(path), r"\\", "/"), r"^(\./)+", "")
 
 
-def is_test_path(path) -> Column:
-    return F.lower(_c(path)).rlike(TEST_PATH)
+def is_test_path(path, in_graph: bool = False) -> Column:
+    return F.lower(_c(path)).rlike(GRAPH_TEST_PATH if in_graph else TEST_PATH)
 
 
 def is_entry_path(path) -> Column:
@@ -78,10 +85,21 @@ def code_tokens(text) -> Column:
     return F.filter(F.transform(raw, stem), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
+def identifier(text) -> Column:
+    """All letters and digits of an identifier, folded, without what separates its words."""
+    return F.array_join(F.regexp_extract_all(split_identifier(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), "")
+
+
 def char_grams(word, size: int = 3) -> Column:
     """Distinct n-grams of a word between ^ and $."""
+    return F.array_distinct(every_gram(word, size))
+
+
+def every_gram(word, size: int = 3) -> Column:
+    """All n-grams of a word between ^ and $, in order."""
     padded = F.concat(F.lit("^"), _c(word), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))), lambda i: padded.substr(i, F.lit(size))))
+    places = F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1)))
+    return F.transform(places, lambda i: padded.substr(i, F.lit(size)))
 
 
 def dice(a, b) -> Column:

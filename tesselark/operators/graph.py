@@ -88,26 +88,36 @@ def flows(edges: DataFrame, starts: DataFrame, max_depth: int = 8, branching: in
     return done.orderBy("path").limit(limit)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 24, damping: float = 0.85, weight: str = "teleport", cut_every: int = 6) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 24, damping: float = 0.85, weight: str = "teleport") -> DataFrame:
     """(node, rank): weighted personalised PageRank with a fixed number of rounds.
 
     Edge weight is max(0.1, confidence), parallel edges add up, and dangling rank is dealt
     out by the teleport weights, which also are the initial ranks.
+
+    A round's rank is the damped flow of the last one plus a multiple of the teleport vector
+    that keeps the sum at one.  So it is a combination of that vector's images under the flow;
+    a round computes one image, by one join and one aggregate, and the factors follow from the
+    images' sums, which are all that the driver sees.
     """
     total = nodes.agg(F.sum(weight).alias("__t"))
-    v = cut(nodes.crossJoin(F.broadcast(total)).select("node", (F.col(weight) / F.col("__t")).alias("tp")))  # one row
+    v = cut(nodes.crossJoin(F.broadcast(total)).select("node", (F.col(weight) / F.col("__t")).alias("x")))  # one row
     w = edges.groupBy("source", "target").agg(F.sum(F.greatest(F.lit(0.1), "confidence")).alias("w"))
     out = w.groupBy("source").agg(F.sum("w").alias("o"))
-    share = cut(w.join(out, "source").select("source", "target", (F.col("w") / F.col("o")).alias("share")))
-    dangling = v.join(share.select(F.col("source").alias("node")).distinct(), "node", "left_anti").select("node")
-    rank = v.select("node", F.col("tp").alias("rank"), "tp")
-    for k in range(rounds):
-        lost = rank.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        gained = share.join(rank.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        rank = v.join(gained, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("tp") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("tp"))).alias("rank"), "tp")  # one row
-        if k % cut_every == cut_every - 1:
-            rank = cut(rank)
-    return rank.select("node", "rank")
+    known = v.select(F.col("node").alias("target"))
+    share = cut(w.join(out, "source").join(known, "target").select("source", "target", (damping * F.col("w") / F.col("o")).alias("share")))
+    images, sums = [v], []
+    for _ in range(rounds):
+        flow = share.join(images[-1].select(F.col("node").alias("source"), "x"), "source")
+        images.append(cut(flow.groupBy(F.col("target").alias("node")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))))
+        sums.append(images[-1].agg(F.sum("x")).head()[0] or 0.0)
+    factors = [1.0]
+    for _ in range(rounds):
+        factors = [1 - sum(a * s for a, s in zip(factors, sums)), *factors]
+    weighted = [m.select("node", (F.lit(a) * F.col("x")).alias("x")) for a, m in zip(factors, images)]
+    every = weighted[0]
+    for m in weighted[1:]:
+        every = every.unionByName(m)
+    return every.groupBy("node").agg(F.sum("x").alias("rank"))
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
@@ -225,7 +235,7 @@ def presentation_score(nodes: DataFrame, tests_in_focus: bool = False) -> DataFr
     from ..functions.text import is_test_path
 
     s = F.col("rank")
-    s = s * F.when(is_test_path("file_path") & F.lit(not tests_in_focus), 0.15).otherwise(1.0)
+    s = s * F.when(is_test_path("file_path", True) & F.lit(not tests_in_focus), 0.15).otherwise(1.0)
     s = s * F.when(F.length("name") <= 2, 0.2).otherwise(1.0)
     s = s * F.when(F.col("name").startswith("_"), 0.6).otherwise(1.0)
     s = s * F.when(F.col("kind") == "Module", 0.5).otherwise(1.0)

@@ -26,6 +26,18 @@ def cochange(changes: DataFrame, target, commit: str = "commit", item: str = "fi
     return out.orderBy(F.desc("coupling"), F.desc("cochanges"), item).limit(limit)
 
 
+def partners(changes: DataFrame, targets: DataFrame, commit: str = "commit", item: str = "file", most_items: int = 20) -> DataFrame:
+    """(target, partner, cochanges, coupling) of everything that changes together with any of the targets."""
+    rows = changes.select(commit, F.col(item).alias("partner")).distinct()
+    small = rows.groupBy(commit).agg(F.count("*").alias("n")).where(F.col("n") <= most_items).select(commit)
+    eligible = rows.join(small, commit, "left_semi")
+    each = eligible.groupBy("partner").agg(F.count("*").alias("commits"))
+    mine = eligible.join(targets.select(F.col(item).alias("partner")).distinct(), "partner", "left_semi").select(commit, F.col("partner").alias("target"))
+    met = mine.join(eligible, commit).where("target != partner").groupBy("target", "partner").agg(F.count("*").alias("cochanges"))
+    met = met.join(each, "partner").join(each.select(F.col("partner").alias("target"), F.col("commits").alias("own")), "target")
+    return met.select("target", "partner", "cochanges", (F.col("cochanges") / F.greatest(F.lit(1), F.least("commits", "own"))).alias("coupling"))
+
+
 def pair_cochange(changes: DataFrame, commit: str, item: str, most_items: int = 20, least: int = 2) -> DataFrame:
     """All pairs of items that change together; a commit of at most `most_items` items makes a bounded number of pairs."""
     rows = changes.select(commit, item).distinct()

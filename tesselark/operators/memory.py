@@ -73,12 +73,17 @@ def mergeable(plan: DataFrame) -> bool:
     return plan.where(F.col("action").startswith("conflict")).isEmpty()
 
 
-def apply_merge(plan: DataFrame, target: DataFrame, expected_revision: int, revision: int, key: str = "stable_key") -> DataFrame:
-    """The target's symbols after a merge; refused where the target has moved on or the plan has conflicts."""
+def check_merge(plan: DataFrame, expected_revision: int, revision: int) -> None:
+    """Refuse a merge where the target has moved on or the plan has conflicts."""
     if expected_revision != revision:
         raise ValueError(f"target is at revision {revision}, the plan was made at {expected_revision}")
     if not mergeable(plan):
         raise ValueError("the plan has conflicts")
+
+
+def apply_merge(plan: DataFrame, target: DataFrame, expected_revision: int, revision: int, key: str = "stable_key") -> DataFrame:
+    """The target's symbols after a merge."""
+    check_merge(plan, expected_revision, revision)
     changed = plan.where(F.col("action").isin("take_source", "merge")).select(key, *[c for c in plan.columns if c not in (key, "action")])
     kept = target.join(changed, key, "left_anti").select(*changed.columns)
     return kept.unionByName(changed)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +16,11 @@ def candidates(steps: DataFrame, process: str, ordinal: str, step: str, kind: st
     return lists.select(process, "kind", F.substring(F.sha2(ident, 256), 1, 16).alias("digest"), "steps", F.size("steps").alias("n_steps"))
 
 
+def numbered(steps: DataFrame, process: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """steps with their ordinal in their process, from 1."""
+    return steps.withColumn("ordinal", F.row_number().over(Window.partitionBy(*process).orderBy(*order)))
+
+
 def refresh(known: DataFrame, found: DataFrame, complete: bool = True, key: str = "process_key") -> DataFrame:
     """(key, change): added, modified, reactivated, unchanged or retired; nothing retires on a partial search."""
     k = known.select(F.col(key).alias("k"), F.col("fingerprint").alias("f0"), "active")

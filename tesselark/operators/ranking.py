@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row of each key: the first in `order`.  Aggregates, so no key's rows are sorted in one task."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row of each key: the first in `order`, by a map-side combined aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__v")).select(*keys, "__v.*")
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Sequence[str]) -> DataFrame:

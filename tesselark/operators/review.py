@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blast_risk
 
-SEVERITIES = ("critical", "high", "medium", "low", "info")
+# Severities, and the thresholds from which a change is reported.
+SEVERITIES = ("critical", "error", "warning", "info")
+THRESHOLDS = {"cyclomatic": 12, "cognitive": 15, "complexity_delta": 4, "hotspot_score": 24, "cross_module_files": 1}
 FINDING = ("severity", "confidence", "code", "file_path", "line", "message")
 
 
@@ -27,10 +29,11 @@ def impact_risk(reached: DataFrame, nodes: DataFrame, node: str = "node", file:
 
 
 def aggregate_risk(changed: DataFrame) -> DataFrame:
-    """Risk of a whole change from one row of counts: symbols, files, changed_symbols, strong_cochanges, unmapped, decisions."""
+    """Risk of a whole change from one row of counts: symbols, files, changed_symbols, changed_files, strong_cochanges, unmapped, decisions."""
     base = F.when((F.col("symbols") >= 40) | (F.col("files") >= 15), 3).when((F.col("symbols") >= 15) | (F.col("files") >= 7), 2).when((F.col("symbols") >= 5) | (F.col("files") >= 3), 1).otherwise(0)
-    level = F.greatest(base, F.when(F.col("changed_symbols") >= 20, 2).otherwise(0), F.when(F.col("unmapped") > 0, 1).otherwise(0), F.when(F.col("decisions") > 0, 1).otherwise(0))
-    level = F.least(F.lit(3), level + F.when(F.col("strong_cochanges") >= 3, 1).otherwise(0))
+    level = F.greatest(base, F.when((F.col("changed_symbols") >= 10) | (F.col("changed_files") >= 5), 2).otherwise(0))
+    level = F.when(F.col("strong_cochanges") >= 3, F.least(F.lit(3), level + 1)).otherwise(level)
+    level = F.greatest(level, F.when((F.col("strong_cochanges") > 0) | (F.col("unmapped") > 0) | (F.col("decisions") > 0), 1).otherwise(0))
     return changed.withColumn("risk", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), level + 1))
 
 
@@ -50,7 +53,7 @@ def literal_rules(lines: DataFrame, rules: Sequence[dict]) -> DataFrame:
         hit = lines.where(text.contains(F.lit(needle)))
         if r.get("file"):
             hit = hit.where(F.col("file_path").contains(F.lit(r["file"])))
-        rows = hit.select(F.lit(r.get("severity", "medium")).alias("severity"), F.lit(1.0).alias("confidence"), F.lit(f"local-rule:{r['id']}").alias("code"), "file_path", "line", F.lit(r.get("message", r["contains"])).alias("message"))
+        rows = hit.select(F.lit(r.get("severity", "warning")).alias("severity"), F.lit(1.0).alias("confidence"), F.lit(f"local-rule:{r['id']}").alias("code"), "file_path", "line", F.lit(r.get("message", r["contains"])).alias("message"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

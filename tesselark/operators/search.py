@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams, code_tokens, cosine, dice, fnv1a
+from ..functions.text import char_grams, code_tokens, dice, every_gram, fnv1a, identifier
+from ..session import cut
 
 # Weights of the fields in term frequencies and in features.
 TERM_WEIGHTS = {"name": 6.0, "qualified_name": 4.0, "file_path": 2.0, "signature": 2.0, "body_text": 1.0}
@@ -23,8 +26,10 @@ def postings(docs: DataFrame, weights: dict[str, float], key: str = "id") -> Dat
 def bm25(post: DataFrame, query_terms: DataFrame, n_docs: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(query, key, score) of every document that holds a term of a query; `query_terms` is (query, term).
 
-    Postings are restricted to the queries' terms before lengths and frequencies meet.
+    Postings are written once and read three times; they are restricted to the queries' terms
+    before lengths and frequencies meet.
     """
+    post = cut(post)
     lengths = post.groupBy(key).agg(F.sum("tf").alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     terms = query_terms.select("query", "term").distinct()
@@ -36,18 +41,23 @@ def bm25(post: DataFrame, query_terms: DataFrame, n_docs: DataFrame | None = Non
     return scored.select(key, "term", part.alias("part")).join(terms, "term").groupBy("query", key).agg(F.sum("part").alias("score"))
 
 
-def exact_score(name, query_tokens, query) -> Column:
-    """1 for the identifier itself, 0.82 for a prefix, 0.9 where it holds all of several query tokens."""
-    n, q = F.lower(name), F.lower(query)
-    own = code_tokens(name)
+def exact_score(name, qualified_name, query_tokens, query) -> Column:
+    """1 for the identifier itself, 0.82 for a prefix, 0.9 where it holds all of several query tokens; word separators don't count."""
+    n, full, q = identifier(name), identifier(qualified_name), identifier(query)
+    own = F.concat(code_tokens(name), code_tokens(qualified_name))
     every = (F.size(query_tokens) > 1) & (F.size(F.array_except(query_tokens, own)) == 0)
-    return F.when(n == q, 1.0).when(every, 0.9).when(n.startswith(q) & (q != ""), 0.82).otherwise(0.0)
+    same, begins = (n == q) | (full == q), n.startswith(q) | full.startswith(q)
+    return F.when(q == "", 0.0).when(same, 1.0).when(begins, 0.82).when(every, 0.9).otherwise(0.0)
 
 
-def coverage(name, query_tokens) -> Column:
-    """Share of an identifier's distinct tokens that the query has."""
-    own = F.array_distinct(code_tokens(name))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(own, query_tokens)), F.size(own)), F.lit(0.0))
+def coverage(own_tokens, query_tokens, concepts_of=None) -> Column:
+    """Share of an identifier's distinct tokens that the query has, or shares a concept with."""
+    own = F.array_distinct(own_tokens)
+    hit = F.filter(own, lambda t: F.array_contains(query_tokens, t))
+    if concepts_of is not None:
+        near = concepts_of(query_tokens)
+        hit = F.filter(own, lambda t: F.array_contains(query_tokens, t) | F.arrays_overlap(concepts_of(F.array(t)), near))
+    return F.coalesce(F.try_divide(F.size(hit), F.size(own)), F.lit(0.0))
 
 
 def fuzzy(token_a, token_b, threshold: float = 0.55) -> Column:
@@ -60,10 +70,14 @@ def fuzzy(token_a, token_b, threshold: float = 0.55) -> Column:
 
 def fuzzy_tokens(tokens: DataFrame, query_tokens: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(query_token, token, similarity) of similar tokens, met through a shared trigram rather than in all pairs."""
-    t = tokens.select("token").distinct().withColumn("gram", F.explode(char_grams("token")))
-    q = query_tokens.select(F.col("token").alias("query_token")).distinct().withColumn("gram", F.explode(char_grams("query_token")))
-    pairs = t.join(q, "gram").select("query_token", "token").distinct()
-    return pairs.withColumn("similarity", fuzzy("query_token", "token", threshold)).where("similarity > 0")
+    def grams(df: DataFrame, name: str, size: str) -> DataFrame:
+        rows = df.select(F.col("token").alias(name)).where(F.length("token") >= 4).distinct().withColumn("__g", char_grams(name))
+        return rows.select(name, F.size("__g").alias(size), F.explode("__g").alias("gram"))
+
+    met = grams(tokens, "token", "n").join(grams(query_tokens, "query_token", "k"), "gram")
+    met = met.where((F.col("token") != F.col("query_token")) & (F.abs(F.length("token") - F.length("query_token")) <= 2))
+    pairs = met.groupBy("query_token", "token").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("k").alias("k"))
+    return pairs.select("query_token", "token", (2.0 * F.col("c") / (F.col("n") + F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def features(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "id") -> DataFrame:
@@ -75,8 +89,8 @@ def features(docs: DataFrame, weights: dict[str, float] | None = None, key: str
             continue
         base = docs.select(key, code_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("ts"))
         tokens = F.transform("ts", lambda t, w=w: F.struct(F.concat(F.lit("token:"), t).alias("feature"), F.lit(w).alias("w")))
-        grams = F.flatten(F.transform(F.filter("ts", lambda t: F.length(t).between(5, 32)), lambda t, w=w: F.transform(char_grams(t), lambda g: F.struct(F.concat(F.lit("char3:"), g).alias("feature"), F.lit(0.08 * w).alias("w")))))
-        pairs = F.expr(f"transform(slice(ts, 1, greatest(size(ts) - 1, 0)), (t, i) -> named_struct('feature', concat('pair:', t, ' ', ts[i + 1]), 'w', cast({0.3 * w} as double)))")
+        grams = F.flatten(F.transform(F.filter("ts", lambda t: F.length(t).between(5, 32)), lambda t, w=w: F.transform(every_gram(t), lambda g: F.struct(F.concat(F.lit("char3:"), g).alias("feature"), F.lit(0.08 * w).alias("w")))))
+        pairs = F.expr(f"transform(slice(ts, 1, greatest(size(ts) - 1, 0)), (t, i) -> named_struct('feature', concat('pair:', t, ':', ts[i + 1]), 'w', cast({0.3 * w} as double)))")
         rows = base.select(key, F.explode(F.concat(tokens, grams, pairs)).alias("x")).select(key, "x.feature", "x.w")
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy(key, "feature").agg(F.sum("w").alias("weight"))
@@ -98,18 +112,78 @@ def vector_scores(doc_vectors: DataFrame, query_vectors: DataFrame, key: str = "
     return got.withColumn("vector", F.greatest(F.lit(0.0), "vector"))
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
+_ROWS, _CELLS = 2048, 1 << 22
+
+
+def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values, ties by id; NaN is none."""
+    some = np.flatnonzero(~np.isnan(similarity))
+    if len(some) > k:
+        values = similarity[some]
+        least = np.partition(values, len(values) - k)[len(values) - k]
+        some = some[values >= least]
+    return some[np.lexsort((ids[some], -similarity[some]))[:k]]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k most similar vectors of each query by exact cosine.
+    """(query, rank, key, similarity): the k most similar vectors of each query by exact cosine, rounded to six digits.
 
-    Queries are a stated, bounded set, so they are broadcast in blocks against all rows; each
-    task keeps its own k best of a query before the shuffle.
+    Queries are broadcast in blocks of a fixed number; a task multiplies its vectors with a
+    block and keeps its own k best of a query, so the shuffle carries k rows for a query and
+    task.  Null vectors and those of length zero are similar to nothing; keys are integers.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    pairs = vectors.join(F.broadcast(q), F.col(key) != F.col("query"))
-    scored = pairs.select("query", key, F.round(cosine(vector, "__q"), 6).alias("similarity"))
-    best = F.struct((-F.col("similarity")).alias("d"), F.col(key).alias("id"))
-    top = scored.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("b"))
-    return top.select("query", F.posexplode("b").alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(key), (-F.col("x.d")).alias("similarity"))
+    spark = vectors.sparkSession
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").distinct()
+    asked = cut(asked.withColumn("n", F.monotonically_increasing_id()))
+    total = asked.count()
+    blocks = -(-total // QUERY_BLOCK)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    top = None
+    for b in range(max(1, blocks)):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == b).select("id", "v").collect()  # about QUERY_BLOCK rows
+        ids = np.array([r[0] for r in part], np.int64)
+        block = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in part], np.float64))))
+        one = rows.mapInArrow(_scan(block, k), "query long, id long, similarity double")
+        top = one if top is None else top.unionByName(one)
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    ranked = top.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query", "rank", F.col("id").alias(key), "similarity")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    if not x.size:
+        return x
+    length = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0)
+
+
+def _scan(block, k: int):
+    """mapInArrow function: the k best of a partition for each query of the block."""
+
+    def run(batches):
+        asked, q = block.value
+        found: list[list[np.ndarray]] = [[np.zeros(0), np.zeros(0, np.int64)] for _ in asked]
+        for batch in batches:
+            lists = batch.column(1)
+            for lo in range(0, batch.num_rows if len(asked) else 0, _ROWS):
+                part = lists.slice(lo, _ROWS)
+                ids = batch.column(0).slice(lo, _ROWS).to_numpy(zero_copy_only=False)
+                v = _unit(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1))
+                step = max(1, _CELLS // len(part))
+                for a in range(0, len(asked), step):
+                    for j, row in enumerate(np.round(q[a : a + step] @ v.T, 6), a):
+                        row[ids == asked[j]] = np.nan
+                        both = np.concatenate([found[j][0], row]), np.concatenate([found[j][1], ids])
+                        keep = _best(*both, k)
+                        found[j] = [both[0][keep], both[1][keep]]
+        sizes = [len(f[0]) for f in found]
+        if sum(sizes):
+            columns = [np.repeat(asked, sizes), np.concatenate([f[1] for f in found]), np.concatenate([f[0] for f in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "similarity"])
+
+    return run
 
 
 def rank_fusion(ranked: DataFrame, key: str = "id", rank: str = "rank", k: int = 60) -> DataFrame:
@@ -120,13 +194,12 @@ def rank_fusion(ranked: DataFrame, key: str = "id", rank: str = "rank", k: int =
 def fuse(candidates: DataFrame) -> DataFrame:
     """Total score from a candidate's evidence columns, which are 0 where there is none."""
     c = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if n in candidates.columns else F.lit(0.0)
-    from pyspark.sql import Window
-
-    per_query = Window.partitionBy("query") if "query" in candidates.columns else Window.partitionBy(F.lit(1))
-    most = F.max(c("lexical")).over(per_query)
-    lexical = F.coalesce(F.try_divide(c("lexical"), most), F.lit(0.0))
+    by = ["query"] if "query" in candidates.columns else []
+    most = candidates.groupBy(*by).agg(F.max(c("lexical")).alias("__most"))
+    met = candidates.join(most, "query") if by else candidates.crossJoin(F.broadcast(most))  # one row
+    lexical = F.coalesce(F.try_divide(c("lexical"), F.col("__most")), F.lit(0.0))
     total = 2 * c("exact") + 0.2 * c("coverage") + 0.4 * c("fuzzy") + 0.45 * lexical + 0.25 * c("vector") + F.least(0.15 * c("concept"), F.lit(0.15)) + 0.15 * c("external") + 0.12 * c("production") - 0.25 * c("test_path")
-    return candidates.withColumn("score", total)
+    return met.withColumn("score", total).drop("__most")
 
 
 def retrieval_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:

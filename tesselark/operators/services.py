@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import methods_agree, normal_api_path, normal_method
@@ -49,8 +49,8 @@ def rendezvous(outbound: DataFrame, inbound: DataFrame, min_confidence: float =
     i = inbound.select(F.col("op").alias("inbound"), F.col("repo_id").alias("target_repo"), "protocol", "key", F.col("confidence").alias("ic"), F.col("broker").alias("ib"), "service")
     met = o.join(i, ["protocol", "key"]).where("source_repo != target_repo").where("ob is null or ib is null or ob = ib")
     penalty = F.when((F.col("protocol") == "queue") & (F.col("ob").isNull() | F.col("ib").isNull()), 0.85).otherwise(1.0)
-    providers = F.size(F.collect_set("target_repo").over(Window.partitionBy("outbound")))
-    met = met.withColumn("providers", providers)
+    several = met.groupBy("outbound").agg(F.when(F.min("target_repo") < F.max("target_repo"), 2).otherwise(1).alias("providers"))
+    met = met.join(several, "outbound")
     identity = F.when(F.col("protocol") != "http", 1.0).when(F.col("known"), 0.98).when(F.col("providers") > 1, 0.55).otherwise(0.75)
     out = met.withColumn("confidence", F.round(F.least("oc", "ic") * penalty * identity, 6)).withColumn("status", F.when((F.col("providers") > 1) & ~((F.col("protocol") == "http") & F.col("known")), "ambiguous").otherwise("resolved"))
     return out.where(F.col("confidence") >= min_confidence).select("outbound", "inbound", "source_repo", "target_repo", "protocol", "service", "status", "confidence")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .graph import components
 
 CHANGE_TYPES = ("added", "modified", "removed", "renamed")
 
@@ -69,18 +70,13 @@ def changes_since(episodes: DataFrame, changes: DataFrame, since, limit: int = 1
     return picked.join(nested, "sequence", "left")
 
 
-def lineage(changes: DataFrame, key, rounds: int = 100) -> DataFrame:
-    """Every key that a key was or became by renames."""
+def lineage(changes: DataFrame, key) -> DataFrame:
+    """Every key that a key was or became by renames: its component, found in a number of rounds that grows with the log of a chain."""
     links = changes.where("previous_stable_key is not null and previous_stable_key != stable_key").select(F.col("stable_key").alias("a"), F.col("previous_stable_key").alias("b"))
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    found = frontier = changes.sparkSession.range(1).select(F.lit(key).cast(changes.schema["stable_key"].dataType).alias("stable_key"))
-    for _ in range(rounds):
-        nxt = both.join(frontier, both["a"] == frontier["stable_key"]).select(F.col("b").alias("stable_key")).distinct()
-        frontier = cut(nxt.join(found, "stable_key", "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    own = changes.sparkSession.range(1).select(F.lit(key).cast(changes.schema["stable_key"].dataType).alias("stable_key"))
+    found = cut(components(links, rounds=1000).select(F.col("node").alias("stable_key"), "component"))
+    mine = found.join(F.broadcast(own), "stable_key", "left_semi").select("component")  # one row at most
+    return own.unionByName(found.join(F.broadcast(mine), "component", "left_semi").select("stable_key")).distinct()
 
 
 def timeline(changes: DataFrame, key, start=None, end=None, at: str = "reference_time", descending: bool = False, limit: int = 100) -> DataFrame:

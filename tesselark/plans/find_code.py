@@ -5,23 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, is_test_path, like_contains
+from ..functions.text import code_tokens, is_test_path, like_contains, stem
 from ..operators import search
+from ..session import cut
 
 # Words of one concept match each other weakly.
 CONCEPTS = {
-    "auth": ("auth", "authenticate", "authorize", "login", "session", "token", "permission"),
-    "store": ("database", "db", "store", "storage", "persist", "save", "repository"),
-    "http": ("http", "request", "response", "fetch", "api", "route", "endpoint"),
-    "error": ("error", "exception", "fail", "failure", "fault", "throw"),
-    "test": ("test", "spec", "assert", "mock", "fixture"),
-}
+    "authentication": (
+        "access", "allowed", "auth", "authenticate", "authentication", "authorize", "authorization", "credential",
+        "deny", "forbid", "identity", "jwt", "login", "logout", "oauth", "password", "permission", "permit", "policy",
+        "protect", "protected", "role", "session", "signin", "signout", "token",
+    ),
+    "persistence": (
+        "cache", "database", "db", "document", "insert", "model", "persist", "persistence", "query", "record",
+        "repository", "row", "save", "sql", "storage", "store", "table", "transaction", "update",
+    ),
+    "http": (
+        "api", "axios", "client", "controller", "endpoint", "fetch", "handler", "http", "middleware", "request",
+        "response", "rest", "route", "router", "server", "status", "url",
+    ),
+    "validation": (
+        "assert", "check", "constraint", "guard", "invalid", "parse", "sanitize", "schema", "validate", "validation",
+        "validator", "verify",
+    ),
+    "failure": (
+        "catch", "error", "exception", "fail", "failure", "fallback", "fault", "recover", "recovery", "retry", "throw",
+        "timeout",
+    ),
+    "transformation": (
+        "adapt", "convert", "decode", "deserialize", "encode", "format", "map", "normalize", "parse", "render",
+        "serialize", "transform",
+    ),
+    "messaging": (
+        "email", "event", "mail", "message", "notification", "notify", "publish", "queue", "send", "sms", "subscribe",
+        "webhook",
+    ),
+    "billing": (
+        "bill", "billing", "charge", "checkout", "invoice", "order", "pay", "payment", "price", "purchase", "refund",
+        "subscription",
+    ),
+    "account": ("account", "actor", "customer", "member", "organization", "owner", "principal", "profile", "tenant", "user"),
+    "creation": ("add", "build", "create", "generate", "initialize", "make", "new", "register"),
+    "deletion": ("clear", "delete", "destroy", "drop", "erase", "invalidate", "purge", "remove", "revoke"),
+    "reading": ("fetch", "find", "get", "load", "lookup", "query", "read", "retrieve", "search"),
+    "mutation": ("change", "edit", "modify", "patch", "replace", "set", "update", "write"),
+    "concurrency": ("async", "concurrent", "job", "lock", "parallel", "promise", "schedule", "task", "thread", "worker"),
+    "configuration": ("config", "configuration", "environment", "feature", "flag", "option", "preference", "setting"),
+    "observability": ("audit", "debug", "log", "metric", "monitor", "observe", "telemetry", "trace"),
+    "cryptography": ("cipher", "decrypt", "digest", "encrypt", "hash", "key", "secret", "sign", "signature"),
+}
 
 
 def concepts(tokens):
-    """Concepts that an array of tokens touches."""
-    hit = [F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit(name)) for name, words in CONCEPTS.items()]
-    return F.array_compact(F.array(*hit))
+    """Concepts that an array of stemmed tokens touches."""
+    stems = {name: F.transform(F.array(*map(F.lit, words)), stem) for name, words in CONCEPTS.items()}
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(tokens, x), F.lit(name)) for name, x in stems.items()]))
 
 
 def find_code(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, file_path: str | None = None, external: DataFrame | None = None) -> DataFrame:
@@ -37,6 +75,7 @@ def find_code(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kin
     spark = docs.sparkSession
     q = spark.range(1).select(F.lit(0).alias("query"), code_tokens(F.lit(query)).alias("q_tokens"), F.lit(query).alias("q_text"))
     terms = q.select("query", F.explode("q_tokens").alias("term"))
+    docs = cut(docs)  # read by each kind of evidence
     post = search.postings(docs, search.TERM_WEIGHTS)
     lexical = search.bm25(post, terms).select("id", F.col("score").alias("lexical"))
     vectors = search.embed(search.features(docs))
@@ -45,13 +84,20 @@ def find_code(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kin
     near = search.fuzzy_tokens(docs.select(F.explode(code_tokens("name")).alias("token")), terms.select(F.col("term").alias("token")))
     fuzzy = docs.select("id", F.explode(code_tokens("name")).alias("token")).join(near, "token").groupBy("id").agg(F.max("similarity").alias("fuzzy"))
     base = docs.crossJoin(F.broadcast(q))  # one row
-    own = code_tokens(F.col("name"))
-    base = base.select("id", "name", "qualified_name", "kind", "file_path", "query", search.exact_score(F.col("name"), F.col("q_tokens"), F.col("q_text")).alias("exact"), search.coverage(F.col("name"), F.col("q_tokens")).alias("coverage"), F.size(F.array_intersect(concepts(own), concepts(F.col("q_tokens")))).cast("double").alias("concept"), F.when(is_test_path("file_path") & F.lit(not file_path), 1.0).otherwise(0.0).alias("test_path"), F.when(is_test_path("file_path"), 0.0).otherwise(1.0).alias("production"))
+    base = base.withColumn("own", F.concat(code_tokens(F.col("name")), code_tokens(F.col("qualified_name"))))
+    shared = F.size(F.array_intersect(concepts(F.col("own")), concepts(F.col("q_tokens"))))
+    base = base.select(
+        "id", "name", "qualified_name", "kind", "file_path", "query",
+        search.exact_score(F.col("name"), F.col("qualified_name"), F.col("q_tokens"), F.col("q_text")).alias("exact"),
+        search.coverage(F.col("own"), F.col("q_tokens"), concepts).alias("coverage"), shared.cast("double").alias("concept"),
+        F.when(is_test_path("file_path") & F.lit(not file_path), 1.0).otherwise(0.0).alias("test_path"),
+        F.when(is_test_path("file_path"), 0.0).otherwise(1.0).alias("production"),
+    )
     got = base.join(lexical, "id", "left").join(vector, "id", "left").join(fuzzy, "id", "left")
     if external is not None:
         got = got.join(search.rank_fusion(external), "id", "left")
     evidence = (F.col("exact") > 0) | (F.col("coverage") > 0) | (F.coalesce("lexical", F.lit(0.0)) > 0) | (F.coalesce("fuzzy", F.lit(0.0)) > 0) | (F.coalesce("vector", F.lit(0.0)) > 0.2)
-    scored = search.fuse(got.where(evidence))
+    scored = search.fuse(cut(got.where(evidence)))  # read twice
     return scored.select("id", "name", "file_path", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), F.round("vector", 6).alias("vector"), "exact", "coverage").orderBy(F.desc("score"), "name", "file_path", "id").offset(offset).limit(limit)
 
 

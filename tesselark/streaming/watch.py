@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 
 def watch(engine, path: str, repo_id: str, every: str = "1 second"):
-    """Index a tree again whenever files arrive; a trigger's files make one run, and runs don't overlap."""
-    files = engine.spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "modificationTime")
+    """Index a tree again whenever a file of it is new, edited or gone; a trigger's changes make one run, and runs don't overlap.
+
+    A file source knows each path once, so the ticks of a clock look at the tree's listing instead.
+    """
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    seen: list = [None]
 
     def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+        listing = engine.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows = listing.select(F.xxhash64("path", "modificationTime", "length").alias("h"))
+        now = rows.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).head()
+        if now != seen[0]:
             engine.index_directory(path, repo_id)
+            seen[0] = now
 
-    return files.writeStream.queryName(f"watch:{path}").foreachBatch(run).trigger(processingTime=every).option("checkpointLocation", f"{engine.home}/checkpoints/watch-{repo_id}").start()
+    return ticks.writeStream.queryName(f"watch:{path}").foreachBatch(run).trigger(processingTime=every).option("checkpointLocation", f"{engine.home}/checkpoints/watch-{repo_id}").start()
 
 
 def usage_windows(calls: DataFrame, width: str = "1 hour", late: str = "10 minutes", at: str = "ts") -> DataFrame:

@@ -31,3 +31,31 @@ def test_hash_and_similarity(spark):
 
 def test_clamp():
     assert [fx.clamp(v, 20, 1, 100) for v in (None, 0, 5, 1000, -3, "x")] == [20, 20, 5, 100, 1, 20]
+
+
+def test_fixed_values(spark):
+    assert one(spark, fx.code_tokens(F.lit("where have all these been added while parsing"))) == ["all", "added", "pars"]
+    for path, test, graph, entry in (("a/fixtures/b.py", True, True, False), ("e2e/x.ts", False, True, False), ("src/worker.ts", False, False, True), ("bin/run", False, False, True), ("x.spec.ts", True, True, False), ("test_a.py", False, False, False)):
+        assert (one(spark, fx.is_test_path(F.lit(path))), one(spark, fx.is_test_path(F.lit(path), True)), one(spark, fx.is_entry_path(F.lit(path)))) == (test, graph, entry), path
+
+
+def test_concepts_and_identifiers(spark):
+    from tesselark.operators import search
+    from tesselark.plans.find_code import CONCEPTS, concepts
+
+    assert len(CONCEPTS) == 17
+    assert one(spark, concepts(fx.code_tokens(F.lit("parseQueries")))) == ["persistence", "validation", "transformation", "reading"]
+    assert one(spark, concepts(fx.code_tokens(F.lit("signin")))) == ["authentication"]
+    tokens = fx.code_tokens(F.lit("login user"))
+    assert one(spark, search.coverage(fx.code_tokens(F.lit("authenticateUserName")), tokens, concepts)) == 2 / 3
+    exact = lambda n, q: one(spark, search.exact_score(F.lit(n), F.lit(n), fx.code_tokens(F.lit(q)), F.lit(q)))
+    assert [exact("load_user", "loadUser"), exact("loadUserName", "load user"), exact("nameOfLoadedUser", "user load"), exact("x", "load")] == [1.0, 0.82, 0.9, 0.0]
+
+
+def test_risk_levels(spark):
+    from tesselark.operators import review
+
+    names = "symbols int, files int, changed_symbols int, changed_files int, strong_cochanges int, unmapped int, decisions int"
+    cases = {(0, 0, 1, 1, 0, 0, 0): "low", (0, 0, 1, 1, 1, 0, 0): "medium", (0, 0, 1, 1, 3, 0, 0): "medium", (0, 0, 10, 1, 0, 0, 0): "high", (0, 0, 1, 5, 3, 0, 0): "critical", (0, 0, 1, 1, 0, 1, 0): "medium", (0, 0, 1, 1, 0, 0, 2): "medium", (40, 1, 1, 1, 9, 1, 1): "critical"}
+    rows = spark.createDataFrame(list(cases), names)
+    assert [r["risk"] for r in review.aggregate_risk(rows).collect()] == list(cases.values())

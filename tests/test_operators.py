@@ -1,0 +1,71 @@
+"""Graph and search operators against brute force."""
+
+import numpy as np
+
+from tesselark.operators import graph, search, temporal
+
+
+def test_pagerank_equals_power_iteration(spark):
+    r = np.random.default_rng(3)
+    n = 12
+    pairs = [(int(a), int(b), float(c)) for a, b, c in zip(r.integers(0, 9, 40), r.integers(0, n, 40), r.random(40))] + [(1, 99, 0.5)]
+    teleport = r.integers(1, 5, n).astype(float)
+    nodes = spark.createDataFrame([(k, float(t)) for k, t in enumerate(teleport)], "node int, teleport double")
+    got = {x["node"]: x["rank"] for x in graph.pagerank(nodes, spark.createDataFrame(pairs, "source int, target int, confidence double")).collect()}
+    w = np.zeros((n, n))
+    leaks = np.zeros(n)
+    for a, b, c in pairs:
+        if b < n:
+            w[a, b] += max(0.1, c)
+        else:
+            leaks[a] += max(0.1, c)
+    total = w.sum(1) + leaks
+    tp = teleport / teleport.sum()
+    rank = tp.copy()
+    for _ in range(24):
+        flow = 0.85 * (rank[total > 0, None] * w[total > 0] / total[total > 0, None]).sum(0)
+        rank = flow + (1 - flow.sum()) * tp
+    assert sorted(got) == list(range(n)) and np.allclose([got[k] for k in range(n)], rank) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(5)
+    v = np.round(r.normal(size=(300, 6)), 1)
+    v[10] = v[11] = v[12]
+    v[13] = 0
+    rows = [(k, [float(x) for x in row]) for k, row in enumerate(v)] + [(None, [1.0] * 6), (900, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    queries = df.where("vec_id % 20 = 0 or vec_id in (11, 13)")
+    got = {(x["query"], x["rank"]): (x["vec_id"], x["similarity"]) for x in search.nearest(df, queries, 4).collect()}
+    v32 = v.astype(np.float32).astype(float)
+    want = {}
+    for q in [*range(0, 300, 20), 11]:
+        s = [(round(float(v32[q] @ v32[k] / np.sqrt((v32[q] @ v32[q]) * (v32[k] @ v32[k]))), 6), k) for k in range(300) if k not in (q, 13)]
+        for rank, (x, k) in enumerate(sorted(s, key=lambda t: (-t[0], t[1]))[:4], 1):
+            want[q, rank] = k, x
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert search.nearest(df, queries.limit(0), 4).count() == 0
+
+
+def test_lineage_of_a_long_chain(spark):
+    rows = [(k, k + 1) for k in range(400)] + [(1000, 1001), (2000, None)]
+    changes = spark.createDataFrame(rows, "stable_key long, previous_stable_key long")
+    assert sorted(x[0] for x in temporal.lineage(changes, 7).collect()) == list(range(401))
+    assert [x[0] for x in temporal.lineage(changes, 2000).collect()] == [2000]
+    assert [x[0] for x in temporal.lineage(changes, -5).collect()] == [-5]
+
+
+def test_fuzzy_tokens_equal_all_pairs(spark):
+    words = ["request", "requests", "reqeust", "response", "abc", "abcd", "abdc", "quest", "banana", "bananas", "bandana"]
+    t = spark.createDataFrame([(w,) for w in words], "token string")
+    got = {(r[0], r[1]): round(r[2], 9) for r in search.fuzzy_tokens(t, t).collect()}
+    grams = lambda w: {f"^{w}$"[k : k + 3] for k in range(len(w))}
+    want = {}
+    for a in words:
+        for b in words:
+            s = 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b)))
+            if a != b and min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and s >= 0.55:
+                want[a, b] = round(s, 9)
+    assert got == want
