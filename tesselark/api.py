@@ -130,8 +130,9 @@ class Engine:
         return row[0]
 
     def find_code(self, query: str, repo_id: str | None = None, file_path: str | None = None, kind: str | None = None, limit: int | None = None, cursor: int = 0) -> DataFrame:
-        s = self.tables(repo_id)["symbols"].select(F.col("stable_key").alias("id"), "name", "qualified_name", "kind", "file_path", "signature", F.substring("body", 1, 3000).alias("body_text"))
-        return code_search.find_code(s, query, clamp(limit, 20, 1, 100), cursor, kind, file_path)
+        t = self.tables(repo_id)
+        stored = {name: t[f"search_{name}"] for name in index.SEARCH_TABLES}
+        return code_search.find_code(index.search_documents(t["symbols"]), query, clamp(limit, 20, 1, 100), cursor, kind, file_path, index=stored)
 
     def get_source_window(self, file_path: str, repo_id: str | None = None, start_line: int | None = None, end_line: int | None = None) -> DataFrame:
         return ranges.source_window(self.tables(repo_id)["files"], file_path, start_line, end_line)

@@ -139,10 +139,22 @@ def reciprocal_ranks(spark, d):
     return search.rank_fusion(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.row_number().over(w).alias("rank")))
 
 
-@q()
+_STEM = """list_filter(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: CASE WHEN length(t) <= 3 THEN t WHEN t LIKE '%ies' AND length(t) > 5 THEN substr(t, 1, length(t) - 3) || 'y' WHEN t LIKE '%ing' AND length(t) > 6 THEN substr(t, 1, length(t) - 3)
+WHEN t LIKE '%ed' AND length(t) > 5 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%es' AND length(t) > 5 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 4 THEN substr(t, 1, length(t) - 1) ELSE t END), lambda t: length(t) > 1)"""
+
+
+@q(f"""WITH f AS (SELECT p_partkey AS id, 5.0 AS w, {_STEM.format("p_name")} AS ts FROM part UNION ALL SELECT p_partkey, 3.5, {_STEM.format("p_brand")} FROM part UNION ALL SELECT p_partkey, 1.5, {_STEM.format("p_type")} FROM part),
+x AS (SELECT id, 'token:' || t AS feature, w FROM (SELECT id, w, unnest(ts) AS t FROM f)
+  UNION ALL SELECT id, 'char3:' || unnest(list_transform(generate_series(1, length(t)), lambda i: substr('^' || t || '$', i, 3))), 0.08 * w FROM (SELECT id, w, unnest(ts) AS t FROM f) WHERE length(t) BETWEEN 5 AND 32
+  UNION ALL SELECT id, 'pair:' || unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ':' || ts[i + 1])), 0.3 * w FROM f),
+g AS (SELECT id, feature, CAST(sum(w) AS DOUBLE) AS weight FROM x GROUP BY 1, 2),
+h AS (SELECT id, weight, list_reduce(list_transform(string_split(feature, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h FROM g),
+c AS (SELECT id, CAST(h % 384 AS INTEGER) AS index, sum(CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END::DOUBLE * (1 + ln(greatest(weight, 1e-4)))) AS v FROM h GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM c GROUP BY 1)
+SELECT c.id, index, round(CASE WHEN norm > 0 THEN v / norm ELSE 0 END, 6) + 0 AS value FROM c JOIN n ON n.id = c.id""")
 def hashed_embeddings(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("qualified_name"), F.col("p_type").alias("kind"))
-    return search.embed(search.features(docs), 384)
+    return search.embed(search.features(docs), 384).withColumn("value", F.round("value", 6))
 
 
 @q()

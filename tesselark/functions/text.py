@@ -79,6 +79,17 @@ def stem(word) -> Column:
     )
 
 
+def stem_of(word: str) -> str:
+    """The same stem of a word that is known beforehand."""
+    n = len(word)
+    if n <= 3:
+        return word
+    for end, least, cut, add in (("ies", 5, 3, "y"), ("ing", 6, 3, ""), ("ed", 5, 2, ""), ("es", 5, 2, "")):
+        if word.endswith(end) and n > least:
+            return word[:-cut] + add
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") and n > 4 else word
+
+
 def code_tokens(text) -> Column:
     """Stemmed search tokens of code or prose; single characters and stop words are left out."""
     raw = F.regexp_extract_all(split_identifier(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

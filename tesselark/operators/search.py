@@ -18,19 +18,24 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, weights: dict[str, float], key: str = "id") -> DataFrame:
     """(key, term, tf): weighted term frequencies over the fields that docs has."""
-    fields = [F.transform(code_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in weights.items() if f in docs.columns]
+    def field(name: str, weight: float) -> Column:  # a lambda's second argument would be an index
+        return F.transform(code_tokens(F.coalesce(F.col(name).cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    fields = [field(f, w) for f, w in weights.items() if f in docs.columns]
     rows = docs.select(key, F.explode(F.concat(*fields)).alias("x")).select(key, "x.term", "x.w")
     return rows.groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
-def bm25(post: DataFrame, query_terms: DataFrame, n_docs: DataFrame | None = None, key: str = "id") -> DataFrame:
+def bm25(post: DataFrame, query_terms: DataFrame, lengths: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(query, key, score) of every document that holds a term of a query; `query_terms` is (query, term).
 
-    Postings are written once and read three times; they are restricted to the queries' terms
-    before lengths and frequencies meet.
+    Postings are restricted to the queries' terms before lengths and frequencies meet.  Where
+    stored `lengths` (key, dl) are given, `post` is a stored table too; else it is written
+    once here and read three times.
     """
-    post = cut(post)
-    lengths = post.groupBy(key).agg(F.sum("tf").alias("dl"))
+    if lengths is None:
+        post = cut(post)
+        lengths = post.groupBy(key).agg(F.sum("tf").alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     terms = query_terms.select("query", "term").distinct()
     hit = post.join(terms.select("term").distinct(), "term", "left_semi")
@@ -70,14 +75,24 @@ def fuzzy(token_a, token_b, threshold: float = 0.55) -> Column:
 
 def fuzzy_tokens(tokens: DataFrame, query_tokens: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(query_token, token, similarity) of similar tokens, met through a shared trigram rather than in all pairs."""
-    def grams(df: DataFrame, name: str, size: str) -> DataFrame:
-        rows = df.select(F.col("token").alias(name)).where(F.length("token") >= 4).distinct().withColumn("__g", char_grams(name))
-        return rows.select(name, F.size("__g").alias(size), F.explode("__g").alias("gram"))
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("token").alias(name)).where(F.length("token") >= 4).distinct().withColumn("__g", char_grams(name))
+
+    t, q = cut(grams(tokens, "token")), grams(query_tokens, "query_token")
+    common = t.select(F.explode("__g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
-    met = grams(tokens, "token", "n").join(grams(query_tokens, "query_token", "k"), "gram")
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        """The grams of which two similar tokens share one: all but as many of the most frequent as they must share, less one."""
+        each = df.select(name, F.size("__g").alias("n"), F.explode("__g").alias("gram")).join(common, "gram", "left")
+        ranked = each.groupBy(name).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("gs"))
+        # c shared grams of n and m, where c <= m, need c >= threshold / 2 (n + m) >= threshold / 2 (n + c)
+        share = F.greatest(F.lit(1), F.ceil(F.lit(threshold / (2 - threshold) - 1e-9) * F.col("n"))).cast("int")
+        return ranked.select(name, F.explode(F.slice("gs", 1, F.col("n") - share + 1)).alias("g")).select(name, "g.gram")
+
+    met = rarest(t, "token").join(rarest(q, "query_token"), "gram")
     met = met.where((F.col("token") != F.col("query_token")) & (F.abs(F.length("token") - F.length("query_token")) <= 2))
-    pairs = met.groupBy("query_token", "token").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("k").alias("k"))
-    return pairs.select("query_token", "token", (2.0 * F.col("c") / (F.col("n") + F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = met.select("query_token", "token").distinct()
+    return pairs.withColumn("similarity", fuzzy("query_token", "token", threshold)).where("similarity > 0")
 
 
 def features(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "id") -> DataFrame:
@@ -88,22 +103,59 @@ def features(docs: DataFrame, weights: dict[str, float] | None = None, key: str
         if f not in docs.columns:
             continue
         base = docs.select(key, code_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("ts"))
-        tokens = F.transform("ts", lambda t, w=w: F.struct(F.concat(F.lit("token:"), t).alias("feature"), F.lit(w).alias("w")))
-        grams = F.flatten(F.transform(F.filter("ts", lambda t: F.length(t).between(5, 32)), lambda t, w=w: F.transform(every_gram(t), lambda g: F.struct(F.concat(F.lit("char3:"), g).alias("feature"), F.lit(0.08 * w).alias("w")))))
-        pairs = F.expr(f"transform(slice(ts, 1, greatest(size(ts) - 1, 0)), (t, i) -> named_struct('feature', concat('pair:', t, ':', ts[i + 1]), 'w', cast({0.3 * w} as double)))")
-        rows = base.select(key, F.explode(F.concat(tokens, grams, pairs)).alias("x")).select(key, "x.feature", "x.w")
+        rows = base.select(key, F.explode(_field_features(w)).alias("x")).select(key, "x.feature", "x.w")
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy(key, "feature").agg(F.sum("w").alias("weight"))
 
 
-def embed(feats: DataFrame, dimensions: int = 384, key: str = "id") -> DataFrame:
-    """(key, index, value): signed hashed vectors of length one, in sparse form."""
+def _field_features(weight: float) -> Column:
+    def some(prefix: str, text: Column, share: float) -> Column:
+        return F.struct(F.concat(F.lit(prefix), text).alias("feature"), F.lit(share * weight).alias("w"))
+
+    grams = F.flatten(F.transform(F.filter("ts", lambda t: F.length(t).between(5, 32)), lambda t: every_gram(t)))
+    pairs = F.expr("transform(slice(ts, 1, greatest(size(ts) - 1, 0)), (t, i) -> concat(t, ':', ts[i + 1]))")
+    return F.concat(
+        F.transform("ts", lambda t: some("token:", t, 1.0)),
+        F.transform(grams, lambda g: some("char3:", g, 0.08)),
+        F.transform(pairs, lambda p: some("pair:", p, 0.3)),
+    )
+
+
+def _place(dimensions: int) -> list[Column]:
     h = fnv1a("feature")
-    sign = F.when(F.shiftrightunsigned(h, 31) % 2 == 1, -1.0).otherwise(1.0)
-    value = sign * (1 + F.ln(F.greatest("weight", F.lit(1e-4))))
-    cells = feats.select(key, (h % dimensions).cast("int").alias("index"), value.alias("v")).groupBy(key, "index").agg(F.sum("v").alias("v"))
-    norm = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return cells.join(norm, key).select(key, "index", F.coalesce(F.try_divide(F.col("v"), F.col("norm")), F.lit(0.0)).alias("value"))
+    return [(h % dimensions).cast("int").alias("index"), F.when(F.shiftrightunsigned(h, 31) % 2 == 1, -1.0).otherwise(1.0).alias("sign")]
+
+
+def vocabulary(feats: DataFrame, dimensions: int = 384, key: str = "id") -> DataFrame:
+    """(feature, index, sign, idf, unseen): each feature's cell, hashed once, and how telling it is; `unseen` is for one that no document has."""
+    total = feats.agg(F.count_distinct(key).alias("n"))
+    df = feats.groupBy("feature").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.select("feature", *_place(dimensions), idf.alias("idf"), F.ln(1 + (F.col("n") + 0.5) / 0.5).alias("unseen"))
+
+
+def embed(feats: DataFrame, dimensions: int = 384, key: str = "id", known: DataFrame | None = None) -> DataFrame:
+    """(key, index, value): signed hashed vectors of length one, in sparse form.
+
+    Features weigh by their idf in a `known` vocabulary, alike without one.
+    """
+    value = F.col("sign") * (1 + F.ln(F.greatest("weight", F.lit(1e-4))))
+    if known is None:
+        placed = feats.select(key, "weight", *_place(dimensions))
+    else:
+        value = value * F.col("idf")
+        placed = feats.join(known, "feature")
+    cells = placed.select(key, "index", value.alias("v")).groupBy(key, "index").agg(F.sum("v").alias("v"))
+    lists = cells.groupBy(key).agg(F.collect_list(F.struct("index", "v")).alias("cells"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # as many cells as dimensions at most
+    each = lists.select(key, "norm", F.explode("cells").alias("c"))
+    return each.select(key, "c.index", F.coalesce(F.try_divide(F.col("c.v"), F.col("norm")), F.lit(0.0)).alias("value"))
+
+
+def query_vocabulary(asked: DataFrame, known: DataFrame, dimensions: int = 384) -> DataFrame:
+    """The vocabulary of a query's features, with the default for those that no document has."""
+    unseen = known.agg(F.first("unseen").alias("unseen"))
+    mine = asked.select("feature").distinct().join(known.select("feature", "idf"), "feature", "left").crossJoin(F.broadcast(unseen))  # one row
+    return mine.select("feature", *_place(dimensions), F.coalesce("idf", "unseen", F.lit(1.0)).alias("idf"), "unseen")
 
 
 def vector_scores(doc_vectors: DataFrame, query_vectors: DataFrame, key: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, is_test_path, like_contains, stem
+from ..functions.text import code_tokens, is_test_path, like_contains, stem_of
 from ..operators import search
 from ..session import cut
 
@@ -58,33 +58,58 @@ CONCEPTS = {
 
 def concepts(tokens):
     """Concepts that an array of stemmed tokens touches."""
-    stems = {name: F.transform(F.array(*map(F.lit, words)), stem) for name, words in CONCEPTS.items()}
+    stems = {name: F.array(*(F.lit(stem_of(w)) for w in words)) for name, words in CONCEPTS.items()}
     return F.array_compact(F.array(*[F.when(F.arrays_overlap(tokens, x), F.lit(name)) for name, x in stems.items()]))
 
 
-def find_code(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, file_path: str | None = None, external: DataFrame | None = None) -> DataFrame:
+def build(docs: DataFrame) -> dict[str, DataFrame]:
+    """What a search needs of its documents (id, name, qualified_name, kind, file_path, signature, body_text), to be stored once.
+
+    postings: (id, term, tf); lengths: (id, dl); terms: (term, df); vocabulary and vectors:
+    (id, index, value); names: the tokens of each identifier.
+    """
+    post = cut(search.postings(docs, search.TERM_WEIGHTS))
+    feats = cut(search.features(docs))
+    known = cut(search.vocabulary(feats))
+    own = F.concat(code_tokens(F.col("name")), code_tokens(F.col("qualified_name")))
+    names = docs.select("id", "name", "qualified_name", "kind", "file_path", own.alias("own"), code_tokens("name").alias("tokens"))
+    return {
+        "postings": post, "lengths": post.groupBy("id").agg(F.sum("tf").alias("dl")), "vocabulary": known,
+        "vectors": search.embed(feats, known=known), "names": names,
+    }
+
+
+def find_code(
+    docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, file_path: str | None = None,
+    external: DataFrame | None = None, index: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """A page of documents for one query, with the evidence behind each score.
 
-    docs: (id, name, qualified_name, kind, file_path, signature, body_text).  The query is one
-    row; only documents with some evidence are scored and sorted.
+    Without a stored `index` of the documents one is made of those that the filters leave.  The
+    query is one row; it reads its own terms' postings and its own cells' vectors only, and
+    only documents with some evidence are scored and sorted.
     """
+    if index is None:
+        if kind:
+            docs = docs.where(F.lower("kind") == kind.lower())
+        if file_path:
+            docs = docs.where(like_contains("file_path", file_path))
+        index = build(docs)
+    spark, names = docs.sparkSession, index["names"]
     if kind:
-        docs = docs.where(F.lower("kind") == kind.lower())
+        names = names.where(F.lower("kind") == kind.lower())
     if file_path:
-        docs = docs.where(like_contains("file_path", file_path))
-    spark = docs.sparkSession
+        names = names.where(like_contains("file_path", file_path))
     q = spark.range(1).select(F.lit(0).alias("query"), code_tokens(F.lit(query)).alias("q_tokens"), F.lit(query).alias("q_text"))
-    terms = q.select("query", F.explode("q_tokens").alias("term"))
-    docs = cut(docs)  # read by each kind of evidence
-    post = search.postings(docs, search.TERM_WEIGHTS)
-    lexical = search.bm25(post, terms).select("id", F.col("score").alias("lexical"))
-    vectors = search.embed(search.features(docs))
-    query_vector = search.embed(search.features(q.select(F.lit(0).alias("id"), F.col("q_text").alias("name")), {"name": 1.0})).select(F.col("id").alias("query"), "index", "value")
-    vector = search.vector_scores(vectors, query_vector).select("id", "vector")
-    near = search.fuzzy_tokens(docs.select(F.explode(code_tokens("name")).alias("token")), terms.select(F.col("term").alias("token")))
-    fuzzy = docs.select("id", F.explode(code_tokens("name")).alias("token")).join(near, "token").groupBy("id").agg(F.max("similarity").alias("fuzzy"))
-    base = docs.crossJoin(F.broadcast(q))  # one row
-    base = base.withColumn("own", F.concat(code_tokens(F.col("name")), code_tokens(F.col("qualified_name"))))
+    terms = cut(q.select("query", F.explode("q_tokens").alias("term")))
+    lexical = search.bm25(index["postings"], terms, index["lengths"]).select("id", F.col("score").alias("lexical"))
+    asked = cut(search.features(q.select(F.lit(0).alias("id"), F.col("q_text").alias("name")), {"name": 1.0}))
+    query_vector = search.embed(asked, known=search.query_vocabulary(asked, index["vocabulary"])).select(F.col("id").alias("query"), "index", "value")
+    vector = search.vector_scores(index["vectors"], F.broadcast(query_vector)).select("id", "vector")  # as many cells as dimensions at most
+    tokens = names.select("id", F.explode("tokens").alias("token"))
+    near = search.fuzzy_tokens(tokens, terms.select(F.col("term").alias("token")))
+    fuzzy = tokens.join(near, "token").groupBy("id").agg(F.max("similarity").alias("fuzzy"))
+    base = names.crossJoin(F.broadcast(q))  # one row
     shared = F.size(F.array_intersect(concepts(F.col("own")), concepts(F.col("q_tokens"))))
     base = base.select(
         "id", "name", "qualified_name", "kind", "file_path", "query",
@@ -98,7 +123,8 @@ def find_code(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, kin
         got = got.join(search.rank_fusion(external), "id", "left")
     evidence = (F.col("exact") > 0) | (F.col("coverage") > 0) | (F.coalesce("lexical", F.lit(0.0)) > 0) | (F.coalesce("fuzzy", F.lit(0.0)) > 0) | (F.coalesce("vector", F.lit(0.0)) > 0.2)
     scored = search.fuse(cut(got.where(evidence)))  # read twice
-    return scored.select("id", "name", "file_path", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), F.round("vector", 6).alias("vector"), "exact", "coverage").orderBy(F.desc("score"), "name", "file_path", "id").offset(offset).limit(limit)
+    out = scored.select("id", "name", "file_path", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), F.round("vector", 6).alias("vector"), "exact", "coverage")
+    return out.orderBy(F.desc("score"), "name", "file_path", "id").offset(offset).limit(limit)
 
 
 def lexical_search(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:

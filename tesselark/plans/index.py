@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_api_path
 from ..sources import code, tree
-from . import link
+from . import find_code, link
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:
@@ -66,14 +66,26 @@ def index_directory(spark: SparkSession, root: str, repo_id: str, store: str, kn
     facts = spark.read.parquet(f"{store}/facts")
     for name, df in relate(found, facts).items():
         df.write.mode("errorifexists").parquet(f"{store}/{name}")
+    tables = load(spark, store, searched=False)
+    for name, df in find_code.build(search_documents(tables["symbols"])).items():
+        df.write.mode("errorifexists").parquet(f"{store}/search_{name}")
     return load(spark, store)
 
 
+def search_documents(symbols: DataFrame) -> DataFrame:
+    """What code search reads of a symbol; the first 3,000 characters of its body."""
+    return symbols.select(F.col("stable_key").alias("id"), "name", "qualified_name", "kind", "file_path", "signature", F.substring("body", 1, 3000).alias("body_text"))
+
+
 TABLES = ("facts", "files", "symbols", "imports", "calls", "relationships", "exports", "edges", "api_operations", "diagnostics")
 
 
-def load(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{store}/{t}") for t in TABLES}
+SEARCH_TABLES = ("postings", "lengths", "vocabulary", "vectors", "names")
+
+
+def load(spark: SparkSession, store: str, searched: bool = True) -> dict[str, DataFrame]:
+    names = [*TABLES, *(f"search_{t}" for t in SEARCH_TABLES if searched)]
+    return {t: spark.read.parquet(f"{store}/{t}") for t in names}
 
 
 def changes(before: dict[str, DataFrame] | None, after: dict[str, DataFrame]) -> DataFrame:
