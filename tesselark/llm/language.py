@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, utf8
+from .common import few, map_text, utf8
 from .toxicity import _Shared, held_out
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
@@ -150,7 +150,7 @@ def train(
     """(languages, parameters) from a bounded sample of the documents that are not held out."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     known = known.where("l is not null and t is not null and i is not null").where(~held_out("i"))
-    counts = known.groupBy("l").agg(F.count("*").alias("n"))
+    counts = few(known.groupBy("l").agg(F.count("*").alias("n")), 100_000)
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = known.join(counts, "l").where(draw < docs_each / F.col("n"))
     per = windows_each
