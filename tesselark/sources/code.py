@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .declarations import declarations
+
 FACTS = (
     "repo_id string, file_path string, fact string, name string, qualified_name string, kind string, start_line int, end_line int, exported boolean, "
     "signature string, owner string, callee string, qualifier string, occurrences int, specifier string, local string, imported string, "
@@ -33,33 +35,6 @@ KEYWORDS = frozenset((
 #: Words that no definition has as its name, besides.
 NO_NAMES = KEYWORDS | frozenset("try throw void instanceof export extends case elif and or not is fn func let var const mut pub impl struct enum trait interface select go defer namespace template of async".split())
 
-_RULES = {
-    "javascript": [
-        ("Function", r"^[ \t]*(?P<x>export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(?P<n>[A-Za-z_$][\w$]*)\s*\("),
-        ("Class", r"^[ \t]*(?P<x>export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>[A-Za-z_$][\w$]*)"),
-        ("Interface", r"^[ \t]*(?P<x>export\s+)?interface\s+(?P<n>[A-Za-z_$][\w$]*)"),
-        ("TypeAlias", r"^[ \t]*(?P<x>export\s+)?type\s+(?P<n>[A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*="),
-        ("Enum", r"^[ \t]*(?P<x>export\s+)?(?:const\s+)?enum\s+(?P<n>[A-Za-z_$][\w$]*)"),
-        ("Function", r"^[ \t]*(?P<x>export\s+)?(?:const|let|var)\s+(?P<n>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"),
-        ("Constant", r"^(?P<x>export\s+)const\s+(?P<n>[A-Z][A-Z0-9_]+)\s*="),
-        ("Method", r"(?:^[ \t]+|[{};][ \t]*)(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*(?P<n>[A-Za-z_$#][\w$]*)\s*\([^;{}]*\)\s*(?::[^{;]+)?\{"),
-    ],
-    "go": [("Method", r"^func\s+\([^)]*\)\s*(?P<n>\w+)"), ("Function", r"^func\s+(?P<n>\w+)"), ("Struct", r"^type\s+(?P<n>\w+)\s+struct\b"), ("Interface", r"^type\s+(?P<n>\w+)\s+interface\b")],
-    "rust": [("Function", r"^[ \t]*(?P<x>pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<n>\w+)"), ("Struct", r"^[ \t]*(?P<x>pub(?:\([^)]*\))?\s+)?struct\s+(?P<n>\w+)"), ("Enum", r"^[ \t]*(?P<x>pub(?:\([^)]*\))?\s+)?enum\s+(?P<n>\w+)"), ("Trait", r"^[ \t]*(?P<x>pub(?:\([^)]*\))?\s+)?trait\s+(?P<n>\w+)")],
-    "ruby": [("Method", r"^[ \t]*def\s+(?:self\.)?(?P<n>\w+[?!=]?)"), ("Class", r"^[ \t]*class\s+(?P<n>[A-Z]\w*)"), ("Module", r"^[ \t]*module\s+(?P<n>[A-Z]\w*)")],
-    "java": [
-        ("Class", r"^[ \t]*(?P<x>public\s+)?(?:(?:private|protected|internal|static|final|abstract|sealed|open|data|partial)\s+)*class\s+(?P<n>\w+)"),
-        ("Interface", r"^[ \t]*(?P<x>public\s+)?(?:(?:private|protected|internal|static)\s+)*(?:interface|protocol)\s+(?P<n>\w+)"),
-        ("Enum", r"^[ \t]*(?P<x>public\s+)?(?:(?:private|protected|internal|static)\s+)*enum\s+(?:class\s+)?(?P<n>\w+)"),
-        ("Record", r"^[ \t]*(?P<x>public\s+)?record\s+(?P<n>\w+)"),
-        ("Function", r"^[ \t]*(?P<x>public\s+)?(?:(?:private|protected|internal|static|override|suspend|open)\s+)*(?:fun|func|function)\s+(?P<n>\w+)"),
-        ("Method", r"^[ \t]*(?P<x>public\s+)?(?:(?:private|protected|internal|static|final|virtual|override|async|inline|const|unsigned|synchronized)\s+)*[A-Za-z_][\w:<>,\[\]*&? ]*[\s*&]+(?P<n>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:throws\s+[\w, .]+)?\{"),
-    ],
-}
-for _same in ("csharp", "kotlin", "swift", "c", "cpp", "php"):
-    _RULES[_same] = _RULES["java"]
-_RULES["typescript"] = _RULES["javascript"]
-_COMPILED = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in _RULES.items()}
 _CALL = re.compile(r"(?:\b(?P<q>[A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?(?P<n>[A-Za-z_$][\w$]*)\s*\(")
 _ROUTE = re.compile(r"\b(?:app|router|server|fastify|api)\s*\.\s*(get|post|put|patch|delete|all|use)\s*\(\s*(['\"`])([^'\"`]*)\2(?:\s*,\s*([A-Za-z_$][\w$]*))?")
 _FETCH = re.compile(r"\bfetch\s*\(\s*(['\"`])([^'\"`]+)\1(?:\s*,\s*\{[^}]*?method\s*:\s*['\"](\w+)['\"])?", re.S)
@@ -74,35 +49,6 @@ def blank(text: str, hash_comments: bool = False) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def _end(text: str, at: int, language: str) -> int:
-    """Offset behind the block that a declaration opens."""
-    if language == "ruby":
-        indent = len(text[text.rfind("\n", 0, at) + 1 : at]) - len(text[text.rfind("\n", 0, at) + 1 : at].lstrip())
-        m = re.compile(rf"^[ \t]{{{indent}}}end\b", re.M).search(text, at)
-        return m.end() if m else text.find("\n", at) % (len(text) + 1)
-    line_limit = at
-    for _ in range(8):
-        nxt = text.find("\n", line_limit + 1)
-        line_limit = nxt if nxt >= 0 else len(text)
-    depth, k = 0, at
-    opened = False
-    while k < len(text):
-        c = text[k]
-        if c == "{":
-            depth, opened = depth + 1, True
-        elif c == "}":
-            depth -= 1
-            if opened and depth <= 0:
-                return k + 1
-        elif c == ";" and not opened:
-            return k + 1
-        if not opened and k > line_limit:
-            break
-        k += 1
-    stop = text.find("\n", at)
-    return stop if stop >= 0 else len(text)
-
-
 def _complexity(body: str) -> tuple[int, int]:
     """Cyclomatic and nesting-weighted complexity of blanked code."""
     n, cognitive, depth = 1, 0, 0
@@ -122,20 +68,14 @@ def scan_code(text: str, language: str) -> list[dict]:
     code = blank(text, language in ("ruby",))
     at_line = lambda k: code.count("\n", 0, k) + 1
     found: dict[int, dict] = {}
-    for kind, rule in _COMPILED.get(language, []):
-        for m in rule.finditer(code):
-            name = m["n"]
-            start = m.start("n")
-            if name in NO_NAMES or start in found:
-                continue
-            exported = bool(m.groupdict().get("x")) or (language == "go" and name[:1].isupper())
-            end = _end(code, m.end() - 1 if code[m.end() - 1 : m.end()] == "{" else start, language)
-            found[start] = {"fact": "symbol", "name": name, "kind": "Constructor" if kind == "Method" and name in ("constructor", "__init__") else kind, "at": m.start(), "end": end, "exported": exported}
+    for d in declarations(code, language, NO_NAMES):
+        kind = "Constructor" if d["kind"] == "Method" and d["name"] in ("constructor", "__init__") else d["kind"]
+        found[d["name_at"]] = {"fact": "symbol", "name": d["name"], "kind": kind, "at": d["at"], "end": d["end"], "exported": d["exported"]}
     rows = sorted(found.values(), key=lambda r: (r["at"], -r["end"]))
     for r in rows:
         owner = [o for o in rows if o is not r and o["at"] <= r["at"] and o["end"] >= r["end"] and o["kind"] in ("Class", "Interface", "Struct", "Trait", "Module", "Record", "Enum")]
         r["qualified_name"] = ".".join([*(o["name"] for o in owner), r["name"]])
-        r["start_line"], r["end_line"] = at_line(r["at"] + len(code[r["at"] :]) - len(code[r["at"] :].lstrip())), at_line(max(r["at"], r["end"] - 1))
+        r["start_line"], r["end_line"] = at_line(r["at"]), at_line(max(r["at"], r["end"] - 1))
         r["signature"] = " ".join(text[r["at"] : r["end"]].split("{")[0].split())[:500]
         r["cyclomatic"], r["cognitive"] = _complexity(code[r["at"] : r["end"]])
         r["body"] = text[r["at"] : r["end"]]

@@ -39,6 +39,22 @@ def test_other_languages(language, text, name):
     assert name in {r["name"] for r in facts(text, language, "symbol")}
 
 
+def test_declarations_without_a_keyword_and_their_ends():
+    def of(text, language):
+        return {r["qualified_name"]: (r["kind"], r["exported"], r["start_line"], r["end_line"]) for r in facts(text, language, "symbol") if r["kind"] != "Module"}
+
+    script = "export const f = async (x: A): B => {\n  return x;\n}\nconst g = y => y + 1\nexport const MAX_N = 3;\nexport const enum E { A }\ntype T<A> =\n  | A\n  | null;\nfor (const z of q) { run(z) }\nclass K {\n  static async go<T>(a) {\n  }\n  get v() { return 1 }\n}\nfoo(function () { });\n"
+    want = {"f": ("Function", True, 1, 3), "g": ("Function", False, 4, 4), "MAX_N": ("Constant", True, 5, 5), "E": ("Enum", True, 6, 6), "T": ("TypeAlias", False, 7, 9), "K": ("Class", False, 11, 15), "K.v": ("Method", False, 14, 14)}
+    assert {k: v for k, v in of(script, "typescript").items() if k in want} == want and "run" not in of(script, "typescript")
+    java = "public class A {\n  private static List<String> m(int a)\n      throws X {\n    if (a) { b(); }\n    return new C();\n  }\n  public A() {\n  }\n  int x = f();\n}\n"
+    assert of(java, "java") == {"A": ("Class", True, 1, 10), "A.m": ("Method", False, 2, 6), "A.A": ("Constructor", True, 7, 8)}
+    assert of("func (s *S) run(a int) error {\n}\nfunc Top() {\n}\ntype A struct {\n x int\n}\n", "go") == {"run": ("Method", False, 1, 2), "Top": ("Function", True, 3, 4), "A": ("Struct", True, 5, 7)}
+    assert of("pub(crate) async fn run(x: u8) -> u8 {\n 1\n}\nstruct P;\n", "rust") == {"run": ("Function", True, 1, 3), "P": ("Struct", False, 4, 4)}
+    assert of("class A\n  def self.go!\n    if x\n    end\n  end\nend\n", "ruby") == {"A": ("Class", False, 1, 6), "A.go!": ("Method", False, 2, 5)}
+    # brackets that never close end with the text
+    assert of("function f(a {\n  x(\n", "javascript") in ({}, {"f": ("Function", False, 1, 2)})
+
+
 def test_empty_and_duplicates():
     assert code.facts_of(None, "javascript") == []
     rows = facts("def f():\n  pass\ndef f():\n  pass\n", "python", "symbol")
