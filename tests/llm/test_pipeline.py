@@ -70,3 +70,30 @@ def test_run_equals_its_stages(spark):
         docs = stored(stage(spark, docs, DATA))
     want = sorted(map(repr, corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()))
     assert sorted(map(repr, corpus_pipeline.run(spark, DATA).collect())) == want
+
+
+def test_python_stages_take_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(key)
+    spark.createDataFrame([(1, "words of no document that is given here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 0, k % 2) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(k, f"text {k} and some more") for k in range(50)], "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    long = spark.range(0, 4_000, 1, 1).select("id", F.repeat(F.lit("x"), 4_000).alias("text"))  # 16 MB in one partition
+
+    def sizes(batches):
+        import pyarrow as pa  # noqa: PLC0415
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "b": [batch.nbytes]})
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "line dedup":  # no Python there
+                continue
+            spark.conf.set(key, usual)
+            stage(spark, docs, str(tmp_path))
+            got = long.mapInArrow(sizes, "n long, b long").collect()
+            assert sum(r["n"] for r in got) == 4_000, name
+            assert max(r["b"] for r in got) <= (4 << 20) + (1 << 16), name
+    finally:
+        spark.conf.set(key, usual)
