@@ -6,11 +6,19 @@ anti-join, checkpointed, so a level's cost follows the frontier and not the path
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Edges that a task gathers at a time.
+_EDGES = 1 << 20
+
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """(at, to, confidence, side): the steps of a search in a direction; callers come before callees."""
@@ -140,42 +148,92 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
 def communities(edges: DataFrame, group: str = "repo_id", passes: int = 20) -> DataFrame:
     """(group, node, community): greedy modularity, one level, nodes visited in order; sequential within a group.
 
-    Each group is one task: the order of visits is part of the result.
+    Each group is one task: the order of visits is part of the result.  The task keeps a label, a
+    degree, a total and a place for each node; the neighbours, which are numbered and gathered in
+    many tasks before, are read from its scratch file at each visit.
     """
-    node, kind = edges.schema["source"].dataType.simpleString(), edges.schema[group].dataType.simpleString()
-
-    def run(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for s, t, w in zip(pdf["source"], pdf["target"], pdf["weight"]):
-            if s != t:
-                near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0.0) + w
-                near.setdefault(t, {})[s] = near.setdefault(t, {}).get(s, 0.0) + w
-        names = sorted(near)
-        degree = {n: sum(near[n].values()) for n in names}
-        label, total, m2 = {n: n for n in names}, dict(degree), sum(degree.values())
-        for _ in range(passes):
-            moved = False
-            for n in names:
-                own = label[n]
-                total[own] -= degree[n]
-                ties: dict = {}
-                for o, w in near[n].items():
-                    ties[label[o]] = ties.get(label[o], 0.0) + w
-                best, gain = own, ties.get(own, 0.0) - total[own] * degree[n] / m2
-                for c in sorted(ties):
-                    g = ties[c] - total[c] * degree[n] / m2
-                    if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best):
-                        best, gain = c, g
-                total[best] = total.get(best, 0.0) + degree[n]
-                moved |= best != own
-                label[n] = best
-            if not moved:
-                break
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(names), "node": names, "community": [label[n] for n in names]})
-
-    return edges.select(group, "source", "target", "weight").groupBy(group).applyInPandas(run, f"{group} {kind}, node {node}, community {node}")
+    pairs = cut(edges.where("source != target").select(group, "source", "target", "weight"))
+    tasks = max(1, -(-2 * pairs.count() // _EDGES))
+    ends = pairs.select(group, F.col("source").alias("node")).unionByName(pairs.select(group, F.col("target").alias("node"))).distinct()
+    nodes = cut(ends.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy("node")) - 1))
+
+    def number(df: DataFrame, column: str, name: str) -> DataFrame:
+        n = nodes.select(F.col(group).alias("__g"), F.col("node").alias("__n"), F.col("i").alias(name))
+        return df.join(n, F.col(group).eqNullSafe(F.col("__g")) & (F.col(column) == F.col("__n"))).drop("__g", "__n", column)
+
+    e = number(number(pairs, "source", "i"), "target", "j").select(group, "i", "j", F.col("weight").cast("double").alias("w"))
+    both = e.unionByName(e.select(group, F.col("j").alias("i"), F.col("i").alias("j"), "w")).repartition(tasks, group, "i")
+    near = both.groupBy(group, "i", "j").agg(F.sum("w").alias("w")).groupBy(group, "i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("x"))
+    packed = near.select(group, "i", F.col("x.j").alias("j"), F.col("x.w").alias("w")).repartition(group)
+    kind = edges.schema[group].dataType.simpleString()
+    got = packed.mapInArrow(_greedy(passes), f"__g {kind}, i int, c int")
+    names = nodes.select(F.col(group).alias("__h"), F.col("i").alias("__i"), "node")
+    own = got.join(names, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("i") == F.col("__i"))).select("__g", "node", "c")
+    labels = names.withColumnRenamed("node", "community")
+    return own.join(labels, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("c") == F.col("__i"))).select(F.col("__g").alias(group), "node", "community")
+
+
+def _greedy(passes: int):
+    """mapInArrow function: (group, node, community) from (group, node, neighbours, weights); nodes are 0, 1, ... in each group."""
+
+    def run(batches):
+        schema, places = None, {}
+        with _scratch() as file:
+            end = 0
+            for batch in batches:
+                schema = batch.schema
+                j, w = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+                sizes = np.diff(np.asarray(batch.column(2).offsets))
+                first = np.cumsum(sizes) - sizes
+                degree = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w, len(sizes))
+                file.write(j.astype(np.int32).tobytes())
+                file.write(w.astype(np.float64).tobytes())
+                for g, *row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (end + 4 * first).tolist(), (end + 4 * len(j) + 8 * first).tolist(), sizes.tolist(), degree.tolist()):
+                    places.setdefault(g, []).append(row)
+                end += 12 * len(j)
+            file.flush()
+            for g, rows in places.items():
+                label = _visit(file.fileno(), sorted(rows), passes)
+                columns = [pa.array([g] * len(label), schema.field(0).type), pa.array(np.arange(len(label), dtype=np.int32)), pa.array(label.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__g", "i", "c"])
+
+    return run
+
+
+def _scratch():
+    """A file of this task among Spark's own scratch files, gone when closed."""
+    where = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=where if os.path.isdir(where) else None)
+
+
+def _visit(file: int, rows: list, passes: int) -> np.ndarray:
+    """The label of each node; rows are (node, place of its neighbours, place of their weights, how many, degree)."""
+    n = len(rows)
+    degree = np.array([r[4] for r in rows])
+    label, total, m2 = np.arange(n), degree.copy(), sum(degree.tolist())
+    for _ in range(passes):
+        moved = False
+        for v, j_at, w_at, size, d in rows:
+            j = np.frombuffer(os.pread(file, 4 * size, j_at), np.int32)
+            w = np.frombuffer(os.pread(file, 8 * size, w_at), np.float64)
+            own = int(label[v])
+            total[own] -= d
+            c, place = np.unique(label[j], return_inverse=True)
+            gains = np.bincount(place, w) - total[c] * d / m2
+            k = int(np.searchsorted(c, own))
+            best, gain = own, float(gains[k]) if k < len(c) and c[k] == own else float(-total[own] * d / m2)
+            # only those that exceed all before them, or equal the own label's gain, can be taken
+            most = np.maximum.accumulate(np.concatenate([[-np.inf], gains[:-1]]))
+            for k in np.flatnonzero((gains > most - 1e-11) & (gains >= gain - 1e-11)):
+                g = float(gains[k])
+                if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c[k] < best):
+                    best, gain = int(c[k]), g
+            total[best] += d
+            moved |= best != own
+            label[v] = best
+        if not moved:
+            break
+    return label
 
 
 def articulation(edges: DataFrame, group: str = "component") -> DataFrame:

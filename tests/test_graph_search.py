@@ -69,3 +69,57 @@ def test_fuzzy_tokens_equal_all_pairs(spark):
             if a != b and min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and s >= 0.55:
                 want[a, b] = round(s, 9)
     assert got == want
+
+
+def greedy_communities(rows, passes=20):
+    """The plain form: one level of greedy modularity, nodes visited in order."""
+    near = {}
+    for s, t, w in rows:
+        if s != t:
+            near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0.0) + w
+            near.setdefault(t, {})[s] = near.setdefault(t, {}).get(s, 0.0) + w
+    degree = {n: sum(x.values()) for n, x in near.items()}
+    label, total, m2 = {n: n for n in near}, dict(degree), sum(degree.values())
+    for _ in range(passes):
+        before = dict(label)
+        for n in sorted(near):
+            own = label[n]
+            total[own] -= degree[n]
+            ties = {}
+            for o, w in near[n].items():
+                ties[label[o]] = ties.get(label[o], 0.0) + w
+            best, gain = own, ties.get(own, 0.0) - total[own] * degree[n] / m2
+            for c in sorted(ties):
+                g = ties[c] - total[c] * degree[n] / m2
+                if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best):
+                    best, gain = c, g
+            total[best] += degree[n]
+            label[n] = best
+        if label == before:
+            break
+    return label
+
+
+def test_communities_equal_the_plain_form(spark):
+    r = np.random.default_rng(8)
+    rows = [(g, f"n{a}", f"n{b}", int(w) / 4) for g in ("x", "y") for a, b, w in zip(r.integers(0, 60, 150), r.integers(0, 60, 150), r.integers(1, 5, 150))]
+    df = spark.createDataFrame([*rows, ("z", "n1", "n1", 1.0)], "repo_id string, source string, target string, weight double").repartition(3)
+    got = {(x["repo_id"], x["node"]): x["community"] for x in graph.communities(df).collect()}
+    assert got == {(g, n): c for g in ("x", "y") for n, c in greedy_communities([x[1:] for x in rows if x[0] == g]).items()}
+
+
+def test_communities_hold_no_neighbours_in_memory():
+    """What the task keeps of a batch doesn't grow with the neighbours in it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 1500
+    near = pa.array([[k for k in range(n) if k != v] for v in range(n)], pa.list_(pa.int32()))
+    weights = pa.ListArray.from_arrays(near.offsets, pa.array(np.ones(n * (n - 1))))
+    whole = pa.RecordBatch.from_arrays([pa.array(["g"] * n), pa.array(range(n), pa.int32()), near, weights], names=["g", "i", "j", "w"])
+    tracemalloc.start()
+    got = list(graph._greedy(2)(whole.slice(k, 50) for k in range(0, n, 50)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].num_rows == n and peak < n * (n - 1) * 12 / 4
