@@ -571,8 +571,7 @@ class Engine:
 
     def find_bridge_symbols(self, repo_id: str | None = None, minimum_degree: int = 2, limit: int | None = None) -> DataFrame:
         e = cut(self.symbol_edges(repo_id).select("source", "target").distinct())
-        labels = graph.components(e, "source", "target").withColumnRenamed("node", "source")
-        return quality.bridges(e, graph.articulation(e.join(labels, "source")), minimum_degree).limit(clamp(limit, 50, 1, 500))
+        return quality.bridges(e, graph.articulation(e.withColumn("component", F.lit(0))), minimum_degree).limit(clamp(limit, 50, 1, 500))
 
     def get_style_fingerprint(self, repo_id: str | None = None) -> DataFrame:
         dims = {"quotes": {"single": "'[^'\n]*'", "double": "\"[^\"\n]*\""}, "indent": {"tabs": r"\n\t+", "spaces": r"\n +"}, "ends": {"semicolon": r";\s*\n", "none": r"[^;{}\s]\s*\n"}, "naming": {"camel": r"\b[a-z]+[A-Z]\w*", "snake": r"\b[a-z]+_[a-z]\w*"}}

@@ -237,47 +237,131 @@ def _visit(file: int, rows: list, passes: int) -> np.ndarray:
 
 
 def articulation(edges: DataFrame, group: str = "component") -> DataFrame:
-    """(group, node): nodes whose removal splits their component; one task for each component, without recursion."""
-    node, kind = edges.schema["source"].dataType.simpleString(), edges.schema[group].dataType.simpleString()
-
-    def run(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for s, t in zip(pdf["source"], pdf["target"]):
-            if s != t:
-                near.setdefault(s, set()).add(t)
-                near.setdefault(t, set()).add(s)
-        order, low, cuts, clock = {}, {}, set(), 0
-        for root in sorted(near):
-            if root in order:
+    """(group, node): nodes whose removal splits their component.
+
+    A task keeps two forests of its edges only: a breadth-first one and one of the rest.  For
+    every node, what hangs together without it does so in these too, so a union of such forests
+    has the cut nodes of all edges.  They are merged, eight tasks' at a time, until one task
+    searches fewer than two edges for each node, without recursion.
+    """
+    pairs = cut(edges.where("source != target").select(group, "source", "target"))
+    ends = pairs.select(group, F.col("source").alias("node")).unionByName(pairs.select(group, F.col("target").alias("node"))).distinct()
+    nodes = cut(ends.withColumn("i", F.monotonically_increasing_id()))
+
+    def number(df: DataFrame, column: str, name: str) -> DataFrame:
+        n = nodes.select(F.col(group).alias("__g"), F.col("node").alias("__n"), F.col("i").alias(name))
+        return df.join(n, F.col(group).eqNullSafe(F.col("__g")) & (F.col(column) == F.col("__n"))).drop("__g", "__n", column)
+
+    left = cut(number(number(pairs, "source", "x"), "target", "y").select("x", "y"))
+    parts = left.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 8)
+        left = cut(left.coalesce(parts).mapInArrow(_thin, "x long, y long"))
+    return left.coalesce(1).mapInArrow(_cut_nodes, "i long").join(nodes, "i").select(group, "node")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the edges of a spanning forest, and each node's component."""
+    label, left, kept = np.arange(n), np.arange(len(a)), []
+    random, place = np.random.default_rng(0), np.empty(n, np.int64)
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate([*kept, np.zeros(0, np.int64)]), label
+        order = random.permutation(n)
+        below = order[x] < order[y]
+        high, low = np.where(below, y, x), np.where(below, x, y)
+        place[high] = np.arange(len(left))  # one edge of each
+        one = np.flatnonzero(place[high] == np.arange(len(left)))
+        kept.append(left[one])
+        up = np.arange(n)
+        up[high[one]] = low[one]
+        while True:
+            over = up[up]
+            if (over == up).all():
+                break
+            up = over
+        label = up[label]
+
+
+def _sparse(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a breadth-first forest, and of a spanning forest of the others."""
+    ids, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n, m = len(ids), len(x)
+    # of parallel edges one, or the second forest would take those of the first again
+    one = np.unique(np.minimum(ends[:m], ends[m:]) * n + np.maximum(ends[:m], ends[m:]), return_index=True)[1]
+    x, y, ends, m = x[one], y[one], np.concatenate([ends[:m][one], ends[m:][one]]), len(one)
+    a, b = ends[:m], ends[m:]
+    _, label = _forest(a, b, n)
+    order = np.argsort(ends, kind="stable")
+    to, edge = np.concatenate([b, a])[order], order % m
+    start = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))])
+    at = np.unique(label)
+    seen, place, tree = np.zeros(n, bool), np.empty(n, np.int64), np.zeros(m, bool)
+    seen[at] = True
+    while len(at):
+        size = start[at + 1] - start[at]
+        steps = np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        steps = steps[~seen[to[steps]]]
+        place[to[steps][::-1]] = np.arange(len(steps))[::-1]  # the first of those that are at the front
+        steps = steps[place[to[steps]] == np.arange(len(steps))]
+        at = to[steps]
+        tree[edge[steps]] = seen[at] = True
+    rest = np.flatnonzero(~tree)
+    tree[rest[_forest(a[rest], b[rest], n)[0]]] = True
+    return x[tree], y[tree]
+
+
+def _sparse_edges(batches) -> tuple[np.ndarray, np.ndarray]:
+    kept, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for batch in batches:
+        kept.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+        held += batch.num_rows
+        if held >= max(_EDGES, len(kept[0][0])):
+            kept, held = [_sparse(*map(np.concatenate, zip(*kept)))], 0
+    x, y = map(np.concatenate, zip(*kept))
+    return _sparse(x, y) if len(x) else (x, y)
+
+
+def _thin(batches):
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in _sparse_edges(batches)], names=["x", "y"])
+
+
+def _cut_nodes(batches):
+    ids, ends = np.unique(np.concatenate(_sparse_edges(batches)), return_inverse=True)
+    n, m = len(ids), len(ends) // 2
+    to = np.concatenate([ends[m:], ends[:m]])[np.argsort(ends, kind="stable")].tolist()
+    start = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]).tolist()
+    at, stop, order, low, cuts, clock = start[:-1], start[1:], [-1] * n, [0] * n, set(), 0
+    for root in range(n):
+        if order[root] >= 0:
+            continue
+        order[root] = low[root] = clock
+        clock += 1
+        stack, children = [(root, -1)], 0
+        while stack:
+            v, parent = stack[-1]
+            if at[v] == stop[v]:
+                stack.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[v])
+                    if parent != root and low[v] >= order[parent]:
+                        cuts.add(parent)
+                    children += parent == root
                 continue
-            order[root] = low[root] = clock
-            clock += 1
-            stack, children = [(root, None, iter(sorted(near[root])))], 0
-            while stack:
-                v, parent, rest = stack[-1]
-                step = next(rest, None)
-                if step is None:
-                    stack.pop()
-                    if stack:
-                        p = stack[-1][0]
-                        low[p] = min(low[p], low[v])
-                        if p != root and low[v] >= order[p]:
-                            cuts.add(p)
-                        children += p == root
-                elif step not in order:
-                    order[step] = low[step] = clock
-                    clock += 1
-                    stack.append((step, v, iter(sorted(near[step]))))
-                elif step != parent:
-                    low[v] = min(low[v], order[step])
-            if children > 1:
-                cuts.add(root)
-        names = sorted(cuts)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(names), "node": names}).astype({group: pdf[group].dtype, "node": pdf["source"].dtype})
-
-    return edges.select(group, "source", "target").groupBy(group).applyInPandas(run, f"{group} {kind}, node {node}")
+            step = to[at[v]]
+            at[v] += 1
+            if order[step] < 0:
+                order[step] = low[step] = clock
+                clock += 1
+                stack.append((step, v))
+            elif step != parent:
+                low[v] = min(low[v], order[step])
+        if children > 1:
+            cuts.add(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[sorted(cuts)].astype(np.int64))], names=["i"])
 
 
 def edge_rank(edges: DataFrame, scores: DataFrame, limit: int) -> DataFrame:

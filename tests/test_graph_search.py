@@ -123,3 +123,40 @@ def test_communities_hold_no_neighbours_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got[0].num_rows == n and peak < n * (n - 1) * 12 / 4
+
+
+def sparse_graphs():
+    r = np.random.default_rng(11)
+    for n in (2, 5, 9, 16, 30):
+        for m in (n // 2 + 1, n, n + n // 3, 2 * n):
+            for _ in range(12):
+                rows = [(int(a), int(b)) for a, b in zip(r.integers(0, n, m), r.integers(0, n, m)) if a != b]
+                if rows:
+                    yield rows
+
+
+def cut_nodes(pairs):
+    from test_whole_tables import cut_nodes as plain
+
+    return plain(pairs)
+
+
+def test_forests_keep_the_cut_nodes():
+    """Thinned in parts, merged and thinned again, edges have the cut nodes of the whole, and fewer than two for each node."""
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in rows], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+    for rows in sparse_graphs():
+        parts = [b for k in range(3) for b in graph._thin([batch(rows[k::3])])]
+        merged = list(graph._thin(parts))
+        assert merged[0].num_rows < 2 * len({x for p in rows for x in p})
+        got = [x for b in graph._cut_nodes(merged) for x in b.column(0).to_pylist()]
+        assert set(got) == cut_nodes(set(rows)), rows
+
+
+def test_articulation_of_groups(spark):
+    rows = [(g, f"{a}", f"{b}") for g in ("x", "y") for a, b in ([(1, 2), (2, 3), (3, 1), (3, 4)] if g == "x" else [(1, 2), (2, 3), (2, 2)])]
+    df = spark.createDataFrame(rows, "component string, source string, target string").repartition(4)
+    assert sorted(map(tuple, graph.articulation(df).collect())) == [("x", "3"), ("y", "2")]
