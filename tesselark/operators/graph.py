@@ -384,10 +384,12 @@ def presentation_score(nodes: DataFrame, tests_in_focus: bool = False) -> DataFr
     return nodes.withColumn("score", s * F.when(F.col("exported"), 1.2).otherwise(1.0))
 
 
-def directory_clusters(files: DataFrame, path: str = "file_path", most: int = 420) -> DataFrame:
-    """(path, cluster): two directory levels, three where two hold more than `most` files."""
+def directory_clusters(files: DataFrame, path: str = "file_path", most: int | None = 420) -> DataFrame:
+    """(path, cluster): two directory levels, three where two hold more than `most` files; None never asks for the third."""
     from ..functions.text import top_directory
 
+    if most is None:
+        return files.select(path, top_directory(path, 2).alias("cluster"))
     two = files.select(path, top_directory(path, 2).alias("two"), top_directory(path, 3).alias("three"))
     busy = two.groupBy("two").agg(F.count("*").alias("n"))
     return two.join(busy, "two").select(path, F.when(F.col("n") > most, F.col("three")).otherwise(F.col("two")).alias("cluster"))

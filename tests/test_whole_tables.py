@@ -54,3 +54,24 @@ def test_communities_of_every_line_item(spark, tmp_path):
     got = {r["node"]: r["community"] for r in QUERIES["file_communities"](spark, d).collect()}
     assert sorted(got) == [1, 2, 3, 11, 12, 13]
     assert got[1] == got[2] == got[3] != got[11] == got[12] == got[13]
+
+
+def test_clusters_of_many_files_have_two_levels_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tesselark.bindings import ORACLES
+
+    rows = [(k, "b1", "t1", f"n{k % 3}") for k in range(500)] + [(500, "b1", "t2", "n"), (501, "b2", "t1", None), (502, None, "t1", "n")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["directory_clusters"](spark, str(tmp_path)).select("cluster", "files").collect()}
+    assert got == set(con.execute(f"SELECT cluster, files FROM ({ORACLES['directory_clusters']})").fetchall())
+
+
+def test_busy_directories_have_three_levels(spark):
+    from tesselark.operators import graph
+
+    files = spark.createDataFrame([(f"a/b/{c}/{k}",) for c in "xy" for k in range(3)] + [("a/c/d/1",)], "file_path string")
+    got = {r["cluster"] for r in graph.directory_clusters(files, most=5).collect()}
+    assert got == {"a/b/x", "a/b/y", "a/c"}
