@@ -38,6 +38,13 @@ def api_links(routes: DataFrame, clients: DataFrame) -> DataFrame:
     return c.join(r, "path").where(methods_agree("cm", "rm")).select("client", "route", "path", F.least("cc", "rc").alias("confidence"))
 
 
+def api_link_counts(routes: DataFrame, clients: DataFrame) -> DataFrame:
+    """(path, links): how many api_links each path has, from its routes and clients of each method, without making them."""
+    r = routes.groupBy(normal_api_path("path").alias("path"), normal_method("method").alias("rm")).agg(F.count("*").alias("routes"))
+    c = clients.groupBy(normal_api_path("path").alias("path"), normal_method("method").alias("cm")).agg(F.count("*").alias("clients"))
+    return c.join(r, "path").where(methods_agree("cm", "rm")).groupBy("path").agg(F.sum(F.col("routes") * F.col("clients")).alias("links"))
+
+
 def rendezvous(outbound: DataFrame, inbound: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """Outbound operations matched with inbound ones of other repositories.
 

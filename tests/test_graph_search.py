@@ -1,8 +1,9 @@
 """Graph and search operators against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tesselark.operators import graph, search, temporal
+from tesselark.operators import graph, search, services, temporal
 
 
 def test_pagerank_equals_power_iteration(spark):
@@ -160,3 +161,23 @@ def test_articulation_of_groups(spark):
     rows = [(g, f"{a}", f"{b}") for g in ("x", "y") for a, b in ([(1, 2), (2, 3), (3, 1), (3, 4)] if g == "x" else [(1, 2), (2, 3), (2, 2)])]
     df = spark.createDataFrame(rows, "component string, source string, target string").repartition(4)
     assert sorted(map(tuple, graph.articulation(df).collect())) == [("x", "3"), ("y", "2")]
+
+
+def test_links_of_a_hot_path_are_counted_not_made(spark):
+    """400,000 routes and as many clients of one path: their pairs could not be made here."""
+    n = 400_000
+    method = F.expr("elt(cast(id % 3 as int) + 1, 'any', 'get', 'POST')")
+    routes = spark.range(n).select(F.lit("/a/7").alias("path"), method.alias("method"))
+    clients = spark.range(n + 1).select(F.when(F.col("id") < n, "https://h/a/9").otherwise("/b").alias("path"), F.lit("get").alias("method"))
+    got = [tuple(r) for r in services.api_link_counts(routes, clients).collect()]
+    assert got == [("/a/{}", n * sum(k % 3 < 2 for k in range(n)))]
+
+
+def test_link_counts_equal_the_links(spark):
+    r = np.random.default_rng(2)
+    sides = []
+    for name in ("route", "client"):
+        rows = [(k, f"/p/{int(p)}/x{int(q)}", m, 0.9) for k, (p, q, m) in enumerate(zip(r.integers(0, 9, 60), r.integers(0, 4, 60), r.choice(["get", "POST", "", "any"], 60)))]
+        sides.append(spark.createDataFrame(rows, f"{name} int, path string, method string, confidence double"))
+    want = services.api_links(*sides).groupBy("path").count()
+    assert sorted(map(tuple, services.api_link_counts(*sides).collect())) == sorted(map(tuple, want.collect()))
