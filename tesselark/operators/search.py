@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,25 +75,63 @@ def fuzzy(token_a, token_b, threshold: float = 0.55) -> Column:
 
 
 def fuzzy_tokens(tokens: DataFrame, query_tokens: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """(query_token, token, similarity) of similar tokens, met through a shared trigram rather than in all pairs."""
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("token").alias(name)).where(F.length("token") >= 4).distinct().withColumn("__g", char_grams(name))
-
-    t, q = cut(grams(tokens, "token")), grams(query_tokens, "query_token")
-    common = t.select(F.explode("__g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-    def rarest(df: DataFrame, name: str) -> DataFrame:
-        """The grams of which two similar tokens share one: all but as many of the most frequent as they must share, less one."""
-        each = df.select(name, F.size("__g").alias("n"), F.explode("__g").alias("gram")).join(common, "gram", "left")
-        ranked = each.groupBy(name).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("gs"))
-        # c shared grams of n and m, where c <= m, need c >= threshold / 2 (n + m) >= threshold / 2 (n + c)
-        share = F.greatest(F.lit(1), F.ceil(F.lit(threshold / (2 - threshold) - 1e-9) * F.col("n"))).cast("int")
-        return ranked.select(name, F.explode(F.slice("gs", 1, F.col("n") - share + 1)).alias("g")).select(name, "g.gram")
-
-    met = rarest(t, "token").join(rarest(q, "query_token"), "gram")
-    met = met.where((F.col("token") != F.col("query_token")) & (F.abs(F.length("token") - F.length("query_token")) <= 2))
-    pairs = met.select("query_token", "token").distinct()
-    return pairs.withColumn("similarity", fuzzy("query_token", "token", threshold)).where("similarity > 0")
+    """(query_token, token, similarity) of similar tokens, as `fuzzy` has them.
+
+    Query tokens are broadcast in blocks of a fixed size, as a table of which of them hold a
+    trigram.  A token adds the rows of its own trigrams, which counts what it shares with each
+    query token, so no pairs are made but those that are similar.
+    """
+    def grams(df: DataFrame) -> DataFrame:
+        return df.select("token").where(F.length("token") >= 4).distinct().select("token", F.length("token").alias("length"), char_grams("token").alias("grams"))
+
+    t, q = cut(grams(tokens)), cut(grams(query_tokens))
+    count, held = q.agg(F.count("*"), F.coalesce(F.sum(F.size("grams")), F.lit(0))).head()
+    blocks = max(1, -(-count // QUERY_BLOCK), -(-held // (8 * QUERY_BLOCK)))
+    found = None
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b).orderBy("length", "token").collect()  # about QUERY_BLOCK rows
+        block = tokens.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part])
+        one = t.mapInArrow(_similar(block, threshold), "query_token string, token string, similarity double")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _similar(block, threshold: float):
+    """mapInArrow function: the tokens of a partition that are similar to the block's, which are in order of length."""
+
+    def run(batches):
+        names = pa.array([r[0] for r in block.value], pa.string())
+        length = np.array([r[1] for r in block.value], np.int64)
+        sizes = np.array([len(r[2]) for r in block.value], np.int64)
+        place: dict[str, int] = {}
+        cells = [(place.setdefault(g, len(place)), k) for k, r in enumerate(block.value) for g in r[2]]
+        holds = np.zeros((len(place) + 1, len(sizes)), np.uint8 if sizes.max(initial=0) < 256 else np.int32)  # the last row is for other trigrams
+        holds[[c[0] for c in cells], [c[1] for c in cells]] = 1
+        known = pa.array(list(place), pa.string())
+        for batch in batches:
+            lists = batch.column(2)
+            flat = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), len(place)).to_numpy()
+            n = pc.list_value_length(lists).to_numpy()
+            first = np.cumsum(n) - n
+            kinds, of = np.unique(np.stack([batch.column(1).to_numpy(), n]), axis=1, return_inverse=True)
+            of = of.ravel()
+            for kind, (own, size) in enumerate(kinds.T):
+                lo, hi = np.searchsorted(length, [own - 2, own + 3])
+                near, total = holds[:, lo:hi], size + sizes[lo:hi]
+                least = np.maximum(1, np.ceil(threshold / 2 * total - 1e-6)).astype(np.int64)
+                rows = np.flatnonzero(of == kind) if lo < hi else ()
+                step = max(1, _CELLS // (hi - lo + 1) // 4)
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    shared = np.zeros((len(some), hi - lo), holds.dtype)
+                    for k in range(size):
+                        shared += near[flat[first[some] + k]]
+                    r, c = np.nonzero(shared >= least)
+                    similarity = 2.0 * shared[r, c] / total[c]
+                    pair = pa.RecordBatch.from_arrays([names.take(pa.array(c + lo)), batch.column(0).take(pa.array(some[r])), pa.array(similarity)], names=["query_token", "token", "similarity"])
+                    yield pair.filter(pc.and_(pa.array(similarity >= threshold), pc.not_equal(pair.column(0), pair.column(1))))
+
+    return run
 
 
 def features(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "id") -> DataFrame:

@@ -181,3 +181,21 @@ def test_link_counts_equal_the_links(spark):
         sides.append(spark.createDataFrame(rows, f"{name} int, path string, method string, confidence double"))
     want = services.api_links(*sides).groupBy("path").count()
     assert sorted(map(tuple, services.api_link_counts(*sides).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_similar_tokens_of_many_that_share_common_grams(spark, monkeypatch):
+    """Tokens that share their grams with all queries but are similar to few; several blocks of queries."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(4)
+    words = sorted({"".join(r.choice(list("ab\u00e9"), int(n))) for n in r.integers(3, 9, 200)}) + ["ab" * 200, "ab" * 201]
+    t, q = (spark.createDataFrame([(w,) for w in x], "token string") for x in (words, words[::5] + words[-1:]))
+    got = sorted(map(tuple, search.fuzzy_tokens(t, q).collect()))
+    pairs = t.crossJoin(q.withColumnRenamed("token", "query_token"))
+    want = pairs.select("query_token", "token", search.fuzzy("query_token", "token").alias("similarity")).where("similarity > 0")
+    assert got == sorted(map(tuple, want.collect())) and got
+
+
+def test_no_pairs_are_made_of_dissimilar_tokens(spark):
+    t = spark.createDataFrame([("abcde",)], "token string")
+    plan = search.fuzzy_tokens(t, t)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
