@@ -35,9 +35,10 @@ def with_counts(repositories: DataFrame, key: str = "repo_id", **tables: DataFra
 def symbol_stats(symbols: DataFrame, levels: Sequence[str], file: str, occurrences: str) -> DataFrame:
     """Symbols, files and occurrences by all levels, by each shorter list of them, and in total."""
     sets = [[F.col(c) for c in levels[:n]] for n in range(len(levels), -1, -1)]
-    total = F.sum(F.col(occurrences).cast("decimal(18,2)")).cast("double")
-    grouped = symbols.groupingSets(sets, *[F.col(c) for c in levels])
-    return grouped.agg(F.count("*").alias("symbols"), F.count_distinct(file).alias("files"), total.alias("occurrences"))
+    # a file's rows are added up before each of them is told for every level
+    each = symbols.groupBy(*levels, file).agg(F.count("*").alias("symbols"), F.sum(F.col(occurrences).cast("decimal(18,2)")).alias("occurrences"))
+    grouped = each.groupingSets(sets, *[F.col(c) for c in levels])
+    return grouped.agg(F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"), F.count_distinct(file).alias("files"), F.sum("occurrences").cast("double").alias("occurrences"))
 
 
 def diagnostics(calls: DataFrame, *by: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_busy_directories_have_three_levels(spark):
     files = spark.createDataFrame([(f"a/b/{c}/{k}",) for c in "xy" for k in range(3)] + [("a/c/d/1",)], "file_path string")
     got = {r["cluster"] for r in graph.directory_clusters(files, most=5).collect()}
     assert got == {"a/b/x", "a/b/y", "a/c"}
+
+
+def test_stats_add_up_a_file_before_the_levels(spark):
+    from tesselark.operators import catalog
+
+    df = spark.createDataFrame([("a", "x", 1, 1.5), ("a", "x", 1, 2.0), ("a", "y", 1, 1.0), ("b", "x", None, 4.0), (None, "x", 2, 0.5)], "kind string, status string, file int, n double")
+    got = catalog.symbol_stats(df, ["kind", "status"], "file", "n")
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", "x", 2, 1, 3.5), ("a", "y", 1, 1, 1.0), ("b", "x", 1, 0, 4.0), (None, "x", 1, 1, 0.5),
+        ("a", None, 3, 1, 4.5), ("b", None, 1, 0, 4.0), (None, None, 1, 1, 0.5), (None, None, 5, 2, 9.0),
+    }
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan.split("Scan")[0] and plan.rindex("HashAggregate") > plan.rindex("Expand")
